@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gneiss.llm import queries_tabular
+from gneiss.llm import queries_tabular, queries_text
 
-MODULES = [queries_tabular]
+MODULES = [queries_tabular, queries_text]
 
 
 def queries() -> dict:
