@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gneiss.llm import queries_tabular, queries_text
+from gneiss.llm import queries_tabular, queries_text, queries_vectors
 
-MODULES = [queries_tabular, queries_text]
+MODULES = [queries_tabular, queries_text, queries_vectors]
 
 
 def queries() -> dict:
