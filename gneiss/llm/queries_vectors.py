@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import forest, vectors
+from gneiss.llm import density, forest, vectors
 from gneiss.plans.scratch import materialize, table
 from gneiss.sources.schemas import NUM_COLS
 
@@ -16,6 +16,12 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(vectors.unit_points(table(spark, sf_dir, "complexity_graph"), DIMS))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of at least 5 points that chains of cosine distances up to 0.05 join."""
+    sets = density.linked_sets(_points(spark, sf_dir), DIMS, 0.05, 5)
+    return sets.filter("id <> comp").select(F.col("comp").alias("first_id"), F.col("id").alias("point_id"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs within 0.05 where one is among the 10 nearest of the other."""
     near = forest.nearest(_points(spark, sf_dir), DIMS, 10, max_dist=0.05)
@@ -35,7 +41,7 @@ def p4_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_knn)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_knn)}
 
 _UNIT = """
   valid AS (SELECT point_id, min(x_num) AS x FROM complexity_graph
