@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import bpe, leak
+from gneiss.llm import abuse, bpe, leak
 from gneiss.plans.scratch import table
 
 
@@ -45,7 +45,36 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_leaks, p8_report)}
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are abusive, hateful or sexual rather than not."""
+    return _scores(spark, sf_dir).filter("score >= 0.5").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, worst passage and evidence."""
+    return _scores(spark, sf_dir)
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: documents, flagged documents, their share, mean score."""
+    source = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return (
+        source.join(_scores(spark, sf_dir).select("doc_id", "score"), "doc_id")
+        .groupBy("source")
+        .agg(
+            F.count(F.lit(1)).alias("n_documents"),
+            F.count_if(F.col("score") >= 0.5).alias("n_flagged"),
+            F.round(F.avg((F.col("score") >= 0.5).cast("double")), 6).alias("share_flagged"),
+            F.round(F.avg("score"), 6).alias("mean_score"),
+        )
+    )
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_leaks, p8_report, p9_found, p9_scores, p9_report)}
 
 _SHARED = r"""
   iw AS (SELECT item_id, suite, split, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w FROM eval_items),
