@@ -1 +1 @@
-
+"""The analytic operators, as DataFrame-to-DataFrame functions."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gneiss import queries_raw
+from gneiss import queries_prepare, queries_raw
 
-MODULES = [queries_raw]
+MODULES = [queries_raw, queries_prepare]
 
 
 def queries() -> dict:
