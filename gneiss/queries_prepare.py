@@ -177,7 +177,8 @@ _RANK = "row_number() OVER (PARTITION BY {} ORDER BY md5('42:' || CAST({} AS VAR
 
 
 def _top(c: str, n: int) -> str:
-    return f"(SELECT {c}, row_number() OVER (ORDER BY count(*) DESC, {c}) AS code FROM part WHERE {c} IS NOT NULL GROUP BY {c} QUALIFY code <= {n})"
+    ranked = f"SELECT {c}, row_number() OVER (ORDER BY n DESC, {c}) AS code FROM (SELECT {c}, count(*) AS n FROM part GROUP BY {c})"
+    return f"(SELECT * FROM ({ranked}) WHERE code <= {n})"
 
 
 def _scaled(c: str) -> str:
@@ -204,7 +205,7 @@ ORACLE = {
         q AS (SELECT quantile_cont(l_tax, [0.25, 0.5, 0.75]) AS a, quantile_cont(l_quantity, [0.25, 0.5, 0.75]) AS b FROM f WHERE split = 'train')
         SELECT l_orderkey, l_linenumber, {r6("(l_tax - a[2]) / (a[3] - a[1])")} AS l_tax, {r6("(l_quantity - b[2]) / (b[3] - b[1])")} AS l_quantity FROM f, q""",
     "topn_category_encode": f"""SELECT p_partkey, CAST(coalesce(t.code, 0) AS INTEGER) AS p_type, CAST(coalesce(b.code, 0) AS INTEGER) AS p_brand
-        FROM part LEFT JOIN {_top("p_type", 5)} t USING (p_type) LEFT JOIN {_top("p_brand", 5)} b USING (p_brand)""",
+        FROM part LEFT JOIN {_top("p_type", 5)} t ON t.p_type = part.p_type LEFT JOIN {_top("p_brand", 5)} b ON b.p_brand = part.p_brand""",
     "label_encode": """SELECT l_orderkey, l_linenumber, l_returnflag, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS encoded_l_returnflag FROM lineitem""",
     "capped_category": f"SELECT p_partkey, t.p_brand FROM part LEFT JOIN {_top('p_brand', 10)} t ON t.p_brand = part.p_brand",
     "one_hot": """SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INTEGER) AS "o_orderstatus=F", CAST(o_orderstatus = 'O' AS INTEGER) AS "o_orderstatus=O",
