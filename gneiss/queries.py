@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gneiss import queries_geometry, queries_prepare, queries_raw
+from gneiss import queries_geometry, queries_predict, queries_prepare, queries_raw
 
-MODULES = [queries_raw, queries_prepare, queries_geometry]
+MODULES = [queries_raw, queries_prepare, queries_geometry, queries_predict]
 
 
 def queries() -> dict:
