@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm import density, forest, vectors
+from gneiss.llm import density, forest, hierarchy, vectors
 from gneiss.plans.scratch import materialize, table
 from gneiss.sources.schemas import NUM_COLS
 
@@ -22,6 +22,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.filter("id <> comp").select(F.col("comp").alias("first_id"), F.col("id").alias("point_id"))
 
 
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most stable density cluster of every point that takes part, -1 for noise."""
+    return hierarchy.density_clusters(_points(spark, sf_dir), DIMS)[0]
+
+
+def p3_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per cluster: id, most frequent class, size, stability and most typical points."""
+    labels, clusters = hierarchy.density_clusters(_points(spark, sf_dir), DIMS)
+    classes = table(spark, sf_dir, "complexity_graph").groupBy("point_id").agg(F.min("y_class").alias("y_class"))
+    counts = labels.filter("y_cluster >= 0").join(classes, "point_id").groupBy("y_cluster", "y_class").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("y_cluster").orderBy(F.desc("n"), "y_class")
+    top = counts.withColumn("r", F.row_number().over(w)).filter("r = 1")
+    top = top.select(F.col("y_cluster").alias("cluster_id"), F.col("y_class").cast("bigint").alias("cluster_class"))
+    return clusters.join(top, "cluster_id", "left").select("cluster_id", "cluster_class", "n_points", F.round("stability", 6).alias("stability"), "exemplars")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs within 0.05 where one is among the 10 nearest of the other."""
     near = forest.nearest(_points(spark, sf_dir), DIMS, 10, max_dist=0.05)
@@ -41,7 +57,7 @@ def p4_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_knn)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p3_summary, p4_found, p4_knn)}
 
 _UNIT = """
   valid AS (SELECT point_id, min(x_num) AS x FROM complexity_graph
@@ -53,6 +69,10 @@ _UNIT = """
   near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, other) AS rank FROM dist)"""
 
 ORACLE = {
+    "p3_found": f"""WITH RECURSIVE {_UNIT}, link AS MATERIALIZED (SELECT id, other FROM dist WHERE dist <= 0.05),
+        walk AS (SELECT point_id AS id, point_id AS first FROM unit UNION SELECT l.other, w.first FROM walk w JOIN link l ON l.id = w.id),
+        comp AS (SELECT id, min(first) AS first_id FROM walk GROUP BY id)
+        SELECT first_id, id AS point_id FROM comp QUALIFY count(*) OVER (PARTITION BY first_id) >= 5 AND id <> first_id""",
     "p4_found": f"""WITH {_UNIT} SELECT DISTINCT least(id, other) AS point_id_a, greatest(id, other) AS point_id_b
         FROM near WHERE rank <= 10 AND dist <= 0.05""",
 }
