@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gneiss import queries_geometry, queries_predict, queries_prepare, queries_raw
+from gneiss import queries_geometry, queries_models, queries_predict, queries_prepare, queries_raw, queries_sweep
 
-MODULES = [queries_raw, queries_prepare, queries_geometry, queries_predict]
+MODULES = [queries_raw, queries_prepare, queries_geometry, queries_predict, queries_models, queries_sweep]
 
 
 def queries() -> dict:
