@@ -38,12 +38,12 @@ def allocate(n: int, shares: np.ndarray, floors: np.ndarray, available: np.ndarr
     total = shares.sum()
     if total <= 0 or n <= 0:
         return low.astype(np.int64)
-    shares = shares / total
+    shares = np.where(shares > 0, np.maximum(shares / total, 1e-12), 0.0)
     if shrink and (live := (shares > 0) & (cap > 0)).any():
         n = min(n, int((cap[live] / shares[live]).min() + 1e-9))
     n = int(min(max(n, low.sum()), np.where(shares > 0, cap, low).sum()))
     lo, hi = 0.0, float(cap.sum() / shares[shares > 0].min() + 1)
-    for _ in range(100):
+    for _ in range(200):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if np.clip(mid * shares, low, cap).sum() < n else (lo, mid)
     ideal = np.clip(hi * shares, low, cap)
