@@ -339,6 +339,7 @@ def cluster_per_class(points: DataFrame, algorithm: str, params: dict, *, floor:
 
     Rows outside the fit sample take the nearest centroid of their class.
     """
+    points = points.select("id", "class", "x")
     best = materialize(grid_search(points, algorithm, combinations(params), max_fit=max_fit, seed=seed))
     fitted = best.select("class", F.explode(F.arrays_zip("ids", "labels")).alias("z")).select("class", F.col("z.ids").alias("id"), F.col("z.labels").alias("local"))
     sizes = fitted.groupBy("class", "local").agg(F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gneiss.operators import clean, clustering, models, resample
+from gneiss.plans.scratch import materialize
 from gneiss.plans.views import clu, emb, rounded
 from gneiss.sources.synthetic import synthetic_table
 
@@ -15,7 +16,7 @@ def synth_counts(spark, d):
 
 
 def synth_cleaned(spark, d):
-    t = clean.drop_nonfinite(synthetic_table(spark), [f"num_{i}" for i in range(1, 21)])
+    t = clean.drop_nonfinite(materialize(synthetic_table(spark)), [f"num_{i}" for i in range(1, 21)])
     return clean.rare_category_filter(t, ["label"], 3000).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
