@@ -1 +1 @@
-
+"""Running aggregates over unbounded streams."""
