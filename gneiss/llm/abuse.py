@@ -31,7 +31,7 @@ MAX_RATED = 20_000
 NEIGHBOURS = 25
 FLOOR = 0.3
 DRAW = 1.0
-BLOCK = 64
+BLOCK = 16
 LONG, STEP = 30, 15
 
 #: Letters of other scripts that pass for Latin ones, and digits and signs that pass for letters; fixed values.
@@ -86,7 +86,7 @@ class Examples:
 
     def __init__(self, texts: list[str], docs: list[list[int]], ratings: dict[int, float], df: dict[str, int], n: int):
         """``docs``: the rated documents that hold each passage."""
-        order = sorted(range(len(texts)), key=lambda i: " ".join(sorted(texts[i].split(" "), key=lambda w: (df.get(w, 0), w))))
+        order = sorted(range(len(texts)), key=lambda i: texts[i])  # like passages share blocks, so bounds are tight
         self.texts, self.docs, self.n = [texts[i] for i in order], [docs[i] for i in order], n
         self.rates = [[ratings[d] for d in ds] for ds in self.docs]
         self.count()
@@ -145,15 +145,17 @@ class Examples:
             some = order[i : i + step]
             i += step
             step = min(step * 2, 32)
-            for b in some:
-                if bound[b] < least:
-                    break
-                lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.texts))
-                s = slice(self.starts[lo], self.starts[hi])
-                cos = np.add.reduceat(self.query[self.at[s]] * self.weight[s], self.starts[lo:hi] - self.starts[lo])
-                ok = cos >= least
-                found.append(np.flatnonzero(ok) + lo)
-                cosines.append(cos[ok])
+            some = some[bound[some] >= least]
+            lo, hi = self.starts[some * BLOCK], self.starts[np.minimum((some + 1) * BLOCK, len(self.texts))]
+            width = hi - lo
+            where = np.repeat(lo - np.cumsum(width) + width, width) + np.arange(width.sum())
+            rows = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            rows = rows[rows < len(self.texts)]
+            length = self.starts[rows + 1] - self.starts[rows]
+            cos = np.add.reduceat(self.query[self.at[where]] * self.weight[where], np.cumsum(length) - length)
+            ok = cos >= least
+            found.append(rows[ok])
+            cosines.append(cos[ok])
             if found and sum(map(len, found)) > k:
                 every, cos = np.concatenate(found), np.concatenate(cosines)
                 top = np.argsort(-cos, kind="stable")[:k]
