@@ -8,6 +8,7 @@ shared by all executors, so losing an executor loses nothing.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,15 @@ BROADCAST_BYTES = 64 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The session's shared scratch folder; one of our own only if none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's shared scratch folder.
+
+    Where none is set, a local session gets one of its own; on a cluster, whose executors
+    share no temporary folder, that raises.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "gneiss-scratch")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
