@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 def _suffixes(terms: Column, max_n: int) -> Column:
     cut = F.transform(F.sequence(F.lit(1), F.size(terms)), lambda i: F.slice(terms, i, F.lit(max_n)))
-    return F.when(F.size(terms) > 0, F.array_sort(cut))
+    return F.when(F.size(terms) > 0, F.sort_array(cut))
 
 
 def _shared(a: Column, b: Column, max_n: int) -> Column:
@@ -78,7 +78,9 @@ def sequence_counts(records: DataFrame, terms: str, max_n: int = 1) -> DataFrame
     length are taken whole. Other columns are not read.
     """
     clean = records.select(F.filter(F.col(terms), lambda t: t.isNotNull()).alias("_t"))
-    per_record = clean.select(F.posexplode(_with_lcp(_suffixes(F.col("_t"), max_n), max_n)).alias("_i", "_s"))
+    # a column of its own: inside the lambda an expression would be worked out again for every suffix
+    sorted_ = clean.select(_suffixes(F.col("_t"), max_n).alias("_all"))
+    per_record = sorted_.select(F.explode(_with_lcp(F.col("_all"), max_n)).alias("_s"))
     counted = per_record.groupBy(F.col("_s.suffix").alias("suffix"), F.col("_s.lcp").alias("lcp")).agg(
         F.count(F.lit(1)).alias("n")
     )
