@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gneiss.llm.vectors import direction, directions, matrix
 from gneiss.plans.scratch import materialize
 
-TREES = 8
+TREES = 12
 BITS = 63
 BLOCK = 256
 WINDOW = 384
