@@ -9,42 +9,105 @@ window needs, alike in all trees. Each tree keeps its k best candidates of every
 vector, and the best of all trees are the result. The index covers every
 vector; the random projections need no fitting.
 
+Planes through the origin hardly part a dense group. Where a run of equal strings is longer than
+the window, its strings go on with the signs about the run's mean, and so on until every run fits, so
+all vectors of one string meet. Signs about a mean can't all be alike, so every round parts each run. A run
+of vectors that are all at distance 0 after rounding is not parted: its members' nearest are its smallest ids.
+
 Equal directions are one entry of the index, so copies can't crowd each other out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.llm.vectors import direction, directions, matrix
-from gneiss.plans.scratch import materialize
+from gneiss.plans.scratch import broadcast_if, materialize
 
 TREES = 12
 BITS = 63
 BLOCK = 256
 WINDOW = 384
+#: Squared extent below which every pair of a run is at a distance that rounds to 0.
+TIGHT = 9e-10
+ROWS = "tree int, key binary, id bigint, unit array<double>"
 
 
 def _hashes(points: DataFrame, dims: int, trees: int, seed: int) -> DataFrame:
-    """tree, hash, id, unit: every point in every tree."""
+    """tree, key, id, unit: every point in every tree."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(seed).standard_normal((dims, trees * BITS))
-        weights = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for b in it:
             bits = matrix(b.column("unit"), dims) @ planes > 0
             n = b.num_rows
             for t in range(trees):
-                h = bits[:, t * BITS : (t + 1) * BITS] @ weights
                 tree = pa.array(np.full(n, t, np.int32))
-                yield pa.RecordBatch.from_arrays([tree, pa.array(h), b.column("id"), b.column("unit")], ["tree", "hash", "id", "unit"])
+                key = _packed(bits[:, t * BITS : (t + 1) * BITS])
+                yield pa.RecordBatch.from_arrays([tree, key, b.column("id"), b.column("unit")], ["tree", "key", "id", "unit"])
+
+    return points.select("id", "unit").mapInArrow(batches, ROWS)
+
+
+def _packed(bits: np.ndarray) -> pa.Array:
+    """Rows of bits as strings of bytes."""
+    packed = np.packbits(bits, axis=1)
+    return pa.array([r.tobytes() for r in packed], pa.binary())
 
-    return points.select("id", "unit").mapInArrow(batches, "tree int, hash bigint, id bigint, unit array<double>")
+
+def _longer(crowd: DataFrame, dims: int, trees: int, seed: int) -> DataFrame:
+    """Rows with their run's ``mean``, their strings carried on by the signs about it."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = np.random.default_rng(seed).standard_normal((trees, dims, BITS))
+        for b in it:
+            tree = b.column("tree").to_numpy()
+            off = matrix(b.column("unit"), dims) - matrix(b.column("mean"), dims)
+            bits = np.zeros((b.num_rows, BITS), bool)
+            for t in np.unique(tree):
+                bits[tree == t] = off[tree == t] @ planes[t] > 0
+            key = [k + more for k, more in zip(b.column("key").to_pylist(), _packed(bits).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("tree"), pa.array(key, pa.binary()), b.column("id"), b.column("unit")], ["tree", "key", "id", "unit"])
+
+    return crowd.mapInArrow(batches, ROWS)
+
+
+def _strings(classes: DataFrame, dims: int, k: int, trees: int, window: int, seed: int) -> tuple[DataFrame, DataFrame | None]:
+    """(tree, key, id, unit) with no run of equal strings above ``window``, and (id, near) of the members of tight runs."""
+    rows = materialize(_hashes(classes, dims, trees, seed))
+    settled, tied = [], []
+    while True:
+        seed += 1
+        runs = materialize(rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > window).select("tree", "key"))
+        n = runs.count()
+        if not n:
+            settled.append(rows)
+            break
+        settled.append(rows.join(broadcast_if(runs, n, 100), ["tree", "key"], "left_anti"))
+        crowd = materialize(rows.join(broadcast_if(runs, n, 100), ["tree", "key"]))
+        at = [F.col("unit")[i] for i in range(dims)]
+        extent = sum((F.pow(F.max(c) - F.min(c), F.lit(2)) for c in at), F.lit(0.0))
+        facts = materialize(crowd.groupBy("tree", "key").agg(F.array(*[F.avg(c) for c in at]).alias("mean"), extent.alias("extent")))
+        wide = facts.filter(F.col("extent") >= TIGHT).select("tree", "key", "mean")
+        tight = broadcast_if(facts.filter(F.col("extent") < TIGHT).select("tree", "key"), n, 100)
+        rows = materialize(_longer(crowd.join(broadcast_if(wide, n, 100 + 8 * dims), ["tree", "key"]), dims, trees, seed))
+        if facts.filter(F.col("extent") < TIGHT).limit(1).count():
+            alike = crowd.join(tight, ["tree", "key"])
+            order = F.row_number().over(Window.partitionBy("tree", "key").orderBy("id"))
+            first = alike.select("tree", "key", "id").withColumn("r", order).filter(F.col("r") <= k + 1)
+            first = materialize(first.groupBy("tree", "key").agg(F.collect_list(F.struct(F.lit(0.0).alias("dist"), "id")).alias("near")))
+            mine = alike.select("tree", "key", "id").join(broadcast_if(first, n, 100 + 16 * (k + 1)), ["tree", "key"])
+            tied.append(mine.select("id", F.filter("near", lambda s: s["id"] != F.col("id")).alias("near")))
+            # their order says nothing; spread over the tasks
+            spread = F.unhex(F.lpad(F.hex(F.xxhash64("tree", "id")), 16, "0"))
+            settled.append(alike.select("tree", F.concat("key", spread).alias("key"), "id", "unit"))
+    return reduce(DataFrame.unionByName, [s.select("tree", "key", "id", "unit") for s in settled]), reduce(DataFrame.unionByName, tied) if tied else None
 
 
 def _near(ids: np.ndarray, unit: np.ndarray, lo: int, hi: int, k: int, max_dist: float, window: int):
@@ -56,7 +119,7 @@ def _near(ids: np.ndarray, unit: np.ndarray, lo: int, hi: int, k: int, max_dist:
     if m < 1:
         return np.zeros((hi - lo, 0), np.int64), np.zeros((hi - lo, 0))
     best = np.argpartition(cos, cos.shape[1] - m, axis=1)[:, -m:] + a
-    exact = np.round(1 - np.einsum("ij,ikj->ik", unit[lo:hi], unit[best]), 9)
+    exact = np.round(1 - np.einsum("ij,ikj->ik", unit[lo:hi], unit[best]), 9) + 0.0
     return ids[best], np.where(exact <= max_dist, exact, np.inf)
 
 
@@ -107,9 +170,11 @@ def class_neighbours(
                     yield from push(ids[lo:hi], unit[lo:hi])
         yield from flush()
 
-    hashed = materialize(_hashes(classes, dims, trees, seed))
-    stretches = hashed.repartitionByRange("tree", "hash").sortWithinPartitions("tree", "hash", "id")
+    strings, tied = _strings(classes, dims, k, trees, window, seed)
+    # equal strings in another order in every tree
+    stretches = strings.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key", F.xxhash64("tree", "id"))
     near = stretches.mapInArrow(batches, "id bigint, near array<struct<dist:double,id:bigint>>")
+    near = near if tied is None else near.unionByName(tied)
     merged = near.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     return merged.select("id", F.slice(F.array_sort("near"), 1, k).alias("near"))
 

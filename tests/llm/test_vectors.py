@@ -130,3 +130,25 @@ def test_nearest_against_brute_force(spark):
     assert all(n["dist"] <= 0.05 for r in near for n in r["near"])
     assert forest.nearest(points.limit(0), DIMS, 10).count() == 0
     assert forest.nearest(points.filter("id = 3"), DIMS, 10).count() == 0
+
+
+def _recall(spark, x, rows, **forest_args):
+    d = _distance(x)
+    np.fill_diagonal(d, 9)
+    points = vectors.unit_points(_table(spark, x), DIMS)
+    got = {r["id"]: {n["id"] for n in r["near"]} for r in forest.nearest(points, DIMS, 10, **forest_args).collect()}
+    return np.mean([len(got[i] & set(np.lexsort((np.arange(len(x)), d[i]))[:10].tolist())) / 10 for i in rows])
+
+
+def test_nearest_in_a_dense_group_of_a_third(spark):
+    rng = np.random.default_rng(9)
+    dense = rng.standard_normal(DIMS) + rng.standard_normal((700, DIMS)) * 3e-3
+    x = np.concatenate([dense, _cloud(9, n_groups=50, each=27, noise=50)])
+    assert _recall(spark, x, range(0, 700, 7), window=48, block=32) > 0.9
+
+
+def test_nearest_of_points_alike_after_rounding(spark):
+    # 300 distinct directions at rounded distance 0: everyone's nearest are the smallest ids
+    rng = np.random.default_rng(10)
+    x = np.concatenate([_cloud(10, n_groups=4, each=25), rng.standard_normal(DIMS) + rng.standard_normal((300, DIMS)) * 1e-7])
+    assert _recall(spark, x, range(140, len(x)), window=48, block=32) == 1
