@@ -34,6 +34,8 @@ TREES = 12
 BITS = 63
 BLOCK = 256
 WINDOW = 384
+#: Pairs whose exact distance is taken at once.
+PAIRS = 1 << 16
 #: Squared extent below which every pair of a run is at a distance that rounds to 0.
 TIGHT = 9e-10
 ROWS = "tree int, key binary, id bigint, unit array<double>"
@@ -111,25 +113,34 @@ def _strings(classes: DataFrame, dims: int, k: int, trees: int, window: int, see
 
 
 def _near(ids: np.ndarray, unit: np.ndarray, lo: int, hi: int, k: int, max_dist: float, window: int):
-    """For the rows lo..hi of a stretch: row, neighbour id and distance of their k best within the window around them."""
+    """For the rows lo..hi of a stretch: row, neighbour id and distance of their k best within the window around them, nearest first, ties by id.
+
+    float32 only screens: whatever its error may have put behind the k-th best is ranked by exact distance and id.
+    """
     a, b = max(0, lo - window), min(len(ids), hi + window)
     cos = unit[lo:hi].astype(np.float32) @ unit[a:b].astype(np.float32).T
     cos[np.arange(hi - lo), np.arange(lo - a, hi - a)] = -9
     m = min(k, b - a - 1)
     if m < 1:
-        return np.zeros((hi - lo, 0), np.int64), np.zeros((hi - lo, 0))
-    best = np.argpartition(cos, cos.shape[1] - m, axis=1)[:, -m:] + a
-    exact = np.round(1 - np.einsum("ij,ikj->ik", unit[lo:hi], unit[best]), 9) + 0.0
-    return ids[best], np.where(exact <= max_dist, exact, np.inf)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    # a dot product of unit vectors is off by at most (dims + 2) roundings, the distances' 9 decimals come on top
+    error = (unit.shape[1] + 2) * 2.0**-23 + 1e-9
+    least = np.partition(cos, cos.shape[1] - m, axis=1)[:, -m].astype(float) - 2 * error
+    row, col = np.nonzero(cos >= np.maximum(least, 1 - max_dist - error - 1e-9)[:, None])
+    near = ids[a + col]
+    dist = np.concatenate([
+        np.round(1 - np.einsum("ij,ij->i", unit[lo + row[i : i + PAIRS]], unit[a + col[i : i + PAIRS]]), 9) + 0.0 for i in range(0, max(len(row), 1), PAIRS)
+    ])
+    order = np.lexsort((near, dist, row))
+    row, near, dist = row[order], near[order], dist[order]
+    keep = (np.arange(len(row)) - np.searchsorted(row, row) < k) & (dist <= max_dist) & (near != ids[lo + row])
+    return row[keep], near[keep], dist[keep]
 
 
 def class_neighbours(
     classes: DataFrame, dims: int, k: int, *, max_dist: float = 2.0, trees: int = TREES, window: int = WINDOW, block: int = BLOCK, seed: int = 7
 ) -> DataFrame:
     """id, near: up to ``k`` nearest other directions as structs (dist, id), nearest first, ties by id."""
-    # a few candidates beyond k: float32 only screens
-    spare = k + 2
-
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple[np.ndarray, np.ndarray, int] = (np.zeros(0, np.int64), np.zeros((0, dims)), 0)
         tree = -1
@@ -137,11 +148,10 @@ def class_neighbours(
         def done(ids: np.ndarray, unit: np.ndarray, start: int, upto: int) -> Iterator[pa.RecordBatch]:
             for lo in range(start, upto, block):
                 hi = min(lo + block, upto)
-                near, dist = _near(ids, unit, lo, hi, spare, max_dist, window)
-                rows = (dist < np.inf).sum(axis=1)
+                row, near, dist = _near(ids, unit, lo, hi, k, max_dist, window)
+                rows = np.bincount(row, minlength=hi - lo)
                 offsets = pa.array(np.r_[0, np.cumsum(rows)].astype(np.int32))
-                flat = dist < np.inf
-                pair = pa.StructArray.from_arrays([pa.array(dist[flat]), pa.array(near[flat])], ["dist", "id"])
+                pair = pa.StructArray.from_arrays([pa.array(dist), pa.array(near)], ["dist", "id"])
                 out = pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.ListArray.from_arrays(offsets, pair)], ["id", "near"])
                 yield out.filter(pa.array(rows > 0))
 

@@ -152,3 +152,18 @@ def test_nearest_of_points_alike_after_rounding(spark):
     rng = np.random.default_rng(10)
     x = np.concatenate([_cloud(10, n_groups=4, each=25), rng.standard_normal(DIMS) + rng.standard_normal((300, DIMS)) * 1e-7])
     assert _recall(spark, x, range(140, len(x)), window=48, block=32) == 1
+
+
+def test_candidates_closer_than_float32_resolves(spark):
+    # 60 neighbours of one point whose distances differ by less than float32 resolves, often tied: smaller ids first
+    rng = np.random.default_rng(11)
+    side = rng.standard_normal((60, DIMS - 1))
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    dist = 0.01 + rng.integers(0, 12, 60) * 1e-9
+    x = np.concatenate([np.c_[1 - dist, side * np.sqrt(1 - (1 - dist) ** 2)[:, None]], np.eye(1, DIMS)])
+    points = vectors.unit_points(_table(spark, x), DIMS)
+    unit = np.array([r["unit"] for r in points.orderBy("id").collect()])
+    d = np.round(1 - unit[:60] @ unit[60], 9)
+    want = np.lexsort((np.arange(60), d))[:10]
+    got = {r["id"]: [n["id"] for n in r["near"]] for r in forest.nearest(points, DIMS, 10).collect()}
+    assert got[60] == want.tolist()
