@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.density import graph, spanning_forest
+from gneiss.llm.density import BLOCK, graph, spanning_forest
 from gneiss.llm.vectors import direction
 from gneiss.plans.scratch import materialize
 
@@ -102,7 +102,7 @@ def stable_clusters(chain: DataFrame, thresholds: list[float]) -> tuple[DataFram
 
 
 def density_clusters(
-    points: DataFrame, dims: int, *, reach: float = 0.05, min_samples: int = 5, min_size: int = 5, levels: int = LEVELS, exemplars: int = 5
+    points: DataFrame, dims: int, *, reach: float = 0.05, min_samples: int = 5, min_size: int = 5, levels: int = LEVELS, exemplars: int = 5, block: int = BLOCK
 ) -> tuple[DataFrame, DataFrame]:
     """(point_id, y_cluster) and (cluster_id, n_points, stability, exemplars).
 
@@ -110,7 +110,7 @@ def density_clusters(
     densest first, ties by id. ``points`` are unit_points, so points that take no part have no row.
     """
     thresholds = [reach * (levels - i) / levels for i in range(levels)]
-    nodes, links = graph(points, dims, reach, min_samples)
+    nodes, links = graph(points, dims, reach, min_samples, block=block, heights=True)
     nodes = nodes.select("id", "d1", "d2", "core")
     forest, _ = spanning_forest(links)
     comps = level_components(forest, nodes, thresholds)

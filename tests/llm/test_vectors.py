@@ -167,3 +167,16 @@ def test_candidates_closer_than_float32_resolves(spark):
     want = np.lexsort((np.arange(60), d))[:10]
     got = {r["id"]: [n["id"] for n in r["near"]] for r in forest.nearest(points, DIMS, 10).collect()}
     assert got[60] == want.tolist()
+
+
+def test_blocks_change_no_merge_height(spark):
+    # two tight subgroups 0.02 from each other in one cell
+    rng = np.random.default_rng(12)
+    a, b = np.eye(2, DIMS)
+    x = np.concatenate([a + off * b + rng.standard_normal((60, DIMS)) * 0.004 for off in (-0.1, 0.1)])
+    points = vectors.unit_points(_table(spark, x), DIMS)
+    got = []
+    for block in (4096, 16):
+        labels, clusters = hierarchy.density_clusters(points, DIMS, block=block)
+        got.append((sorted(labels.collect()), sorted((r["cluster_id"], r["n_points"], round(r["stability"], 6)) for r in clusters.collect())))
+    assert got[0] == got[1] and len(got[0][1]) == 2
