@@ -180,3 +180,25 @@ def test_blocks_change_no_merge_height(spark):
         labels, clusters = hierarchy.density_clusters(points, DIMS, block=block)
         got.append((sorted(labels.collect()), sorted((r["cluster_id"], r["n_points"], round(r["stability"], 6)) for r in clusters.collect())))
     assert got[0] == got[1] and len(got[0][1]) == 2
+
+
+def test_hierarchy_splits_below_any_level(spark):
+    # two dense groups 0.002 apart, each with distances of about 1e-6
+    rng = np.random.default_rng(13)
+    a, b = np.eye(2, DIMS)
+    x = np.concatenate([a + off * b + rng.standard_normal((40, DIMS)) * 0.0005 for off in (-0.03, 0.03)])
+    labels, clusters = hierarchy.density_clusters(vectors.unit_points(_table(spark, x), DIMS), DIMS)
+    rows = [r["y_cluster"] for r in labels.orderBy("point_id").collect()]
+    assert not set(rows[:40]) & (set(rows[40:]) - {-1}) and len({c for c in rows if c >= 0}) >= 2
+    assert all(r["stability"] > 0 for r in clusters.collect())
+
+
+def test_condense_weighs_every_merge():
+    # two groups of three, joined within at 0.01 and 0.02, to each other at 0.04; a sixth point falls out at 0.05 (= reach)
+    ids = np.arange(7)
+    u, v = np.array([0, 1, 3, 4, 2, 5]), np.array([1, 2, 4, 5, 3, 6])
+    w = np.array([0.01, 0.01, 0.02, 0.02, 0.04, 0.05])
+    row, own, depth, stability = hierarchy.condense(ids, np.ones(7, int), np.zeros(7), u, v, w, 0.05, 3)
+    assert row.tolist() == list(range(6)) and len(set(own[:3])) == len(set(own[3:])) == 1 and own[0] != own[3]
+    assert np.allclose(depth, [100] * 3 + [50] * 3)
+    assert np.allclose([stability[own[0]], stability[own[3]]], [3 * (100 - 25), 3 * (50 - 25)])
