@@ -207,3 +207,25 @@ def test_focal_loss():
     p, y = np.array([[0.9, 0.1], [0.2, 0.8], [0.5, 0.5]]), np.array([0, 1, -1])
     assert abs(models.focal_loss(p, y, gamma=0) + np.log([0.9, 0.8]).mean()) < 1e-12
     assert models.focal_loss(p, y) < models.focal_loss(p, y, gamma=0)
+
+
+def test_model_queries_cover_every_row(spark, tmp_path):
+    from gneiss import queries_models
+
+    rng = np.random.default_rng(3)
+    rows = [(i + 100, i % 5, [float(v) for v in rng.standard_normal(64) + i % 5]) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries_models.attributions(spark, str(tmp_path))
+    assert got.count() == 60 * 64 and got.select("id").distinct().count() == 60
+    boosted = queries_models.boosted_predictions(spark, str(tmp_path)).collect()
+    assert sorted(r["id"] for r in boosted) == [r[0] for r in rows if r[0] % 5 == 0]
+
+
+def test_boosted_predictions_cover_every_class(spark, tmp_path):
+    from gneiss import queries_models
+
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 4, [float(v) for v in rng.standard_normal(64) + 4 * (i % 4)]) for i in range(80)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries_models.boosted_predictions(spark, str(tmp_path)).collect()
+    assert {r["y"] for r in got} == {0, 1, 2, 3} and 3 in {r["p"] for r in got}
