@@ -157,16 +157,20 @@ def kprototypes(x: np.ndarray, cats: np.ndarray | None = None, *, n_clusters: in
 @register("hdbscan")
 def hdbscan(x: np.ndarray, cats: np.ndarray | None = None, *, min_cluster_size: int = 5, min_samples: int | None = None, method: str = "leaf") -> np.ndarray:
     """Density clusters of a sample: mutual-reachability spanning tree, condensed tree, leaves or most stable clusters; -1 is noise."""
+    return hdbscan_model(x, min_cluster_size=min_cluster_size, min_samples=min_samples, method=method)[0]
+
+
+def hdbscan_model(x: np.ndarray, *, min_cluster_size: int = 5, min_samples: int | None = None, method: str = "leaf") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row its label, its core distance and the distance at which its cluster begins (0 for noise)."""
     n = len(x)
     min_samples = min(min_samples or min_cluster_size, n)
-    d = np.sqrt(_sq(x, x))
-    core = np.partition(d, min_samples - 1, axis=1)[:, min_samples - 1]
-    reach = np.maximum(np.maximum(d, core), core[:, None])
+    core = np.concatenate([np.partition(np.sqrt(_sq(x[i : i + 512], x)), min_samples - 1, axis=1)[:, min_samples - 1] for i in range(0, n, 512)])
     best, source, inside, row, edges = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool), 0, []
     for _ in range(n - 1):
         inside[row] = True
-        closer = (reach[row] < best) & ~inside
-        best[closer], source[closer] = reach[row][closer], row
+        reach = np.maximum(np.maximum(np.sqrt(_sq(x, x[[row]]))[:, 0], core), core[row])
+        closer = (reach < best) & ~inside
+        best[closer], source[closer] = reach[closer], row
         row = int(np.where(inside, np.inf, best).argmin())
         edges.append((best[row], source[row], row))
     # dendrogram: node ids from n upwards, in merging order
@@ -214,9 +218,9 @@ def hdbscan(x: np.ndarray, cats: np.ndarray | None = None, *, min_cluster_size:
                 clusters[me]["split"] = lam
                 stack += [(c, me) for c in big]
             break
-    label = np.full(n, -1)
+    label, limit = np.full(n, -1), np.zeros(n)
     if not clusters:
-        return label
+        return label, core, limit
 
     def below(c: int) -> list[int]:
         out, todo = [], [c]
@@ -249,7 +253,41 @@ def hdbscan(x: np.ndarray, cats: np.ndarray | None = None, *, min_cluster_size:
                 todo += clusters[q]["children"]
     for j, c in enumerate(sorted(chosen)):
         label[below(c)] = j
-    return label
+        limit[below(c)] = 1 / clusters[c]["born"] if clusters[c]["born"] > 0 else np.inf
+    return label, core, limit
+
+
+def by_density(rest: DataFrame, fitted: DataFrame, best: DataFrame, grid: list[dict]) -> DataFrame:
+    """id, class, local: every row of ``rest`` joins its neighbour by mutual reachability in the fit sample, or is noise.
+
+    It is noise if the neighbour is, or lies farther than the distance at which the neighbour's cluster begins. One class's
+    sample (id, class, x) is sent at a time, bounded by the fit's rows.
+    """
+    spark, kind = rest.sparkSession, dict(rest.dtypes)["class"]
+    out = spark.createDataFrame([], f"id bigint, class {kind}, local bigint")
+    combo = {r["class"]: r["combo"] for r in best.select("class", "combo").collect()}
+    for c in sorted(r[0] for r in rest.select("class").distinct().collect()):
+        rows = fitted.filter(F.col("class") == c).orderBy("id").select("x").collect()
+        x, params = np.array([r[0] for r in rows], float), grid[combo[c]]
+        label, core, limit = hdbscan_model(x, **params)
+        k = min(params.get("min_samples") or params.get("min_cluster_size", 5), len(x))
+        sent = spark.sparkContext.broadcast((x, label, core, limit, k))
+
+        def place(it, sent=sent):
+            x, label, core, limit, k = sent.value
+            for whole in it:
+                for lo in range(0, len(whole), 512):
+                    pdf = whole.iloc[lo : lo + 512]
+                    d = np.sqrt(_sq(np.array(pdf["x"].tolist(), float), x))
+                    # a row is the first of its own neighbours, as in the fit
+                    own = np.partition(d, k - 2, axis=1)[:, k - 2] if k > 1 else np.zeros(len(d))
+                    reach = np.maximum(np.maximum(d, core), own[:, None])
+                    at = np.where(reach == reach.min(1, keepdims=True), d, np.inf).argmin(1)
+                    near = reach[np.arange(len(d)), at] <= limit[at]
+                    yield pd.DataFrame({"id": pdf["id"], "class": pdf["class"], "local": np.where(near, label[at], -1)})
+
+        out = out.unionByName(rest.filter(F.col("class") == c).mapInPandas(place, f"id bigint, class {kind}, local bigint"))
+    return out
 
 
 def silhouette_mean(x: np.ndarray, label: np.ndarray, most: int = 5000, seed: int = 42) -> float:
@@ -337,10 +375,10 @@ def grid_search(points: DataFrame, algorithm: str, grid: list[dict], *, max_fit:
 def cluster_per_class(points: DataFrame, algorithm: str, params: dict, *, floor: int = 1, max_fit: int = 20_000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """((id, cluster), centroids): unique ids over all classes, small clusters absorbed, noise in one pseudo-cluster per class after them.
 
-    Rows outside the fit sample take the nearest centroid of their class.
+    Rows outside the fit sample take the nearest centroid of their class; with hdbscan they are placed by density and may be noise.
     """
-    points = points.select("id", "class", "x")
-    best = materialize(grid_search(points, algorithm, combinations(params), max_fit=max_fit, seed=seed))
+    points, grid = points.select("id", "class", "x"), combinations(params)
+    best = materialize(grid_search(points, algorithm, grid, max_fit=max_fit, seed=seed))
     fitted = best.select("class", F.explode(F.arrays_zip("ids", "labels")).alias("z")).select("class", F.col("z.ids").alias("id"), F.col("z.labels").alias("local"))
     sizes = fitted.groupBy("class", "local").agg(F.count(F.lit(1)).alias("n"))
     real = sizes.filter((F.col("local") >= 0) & (F.col("n") >= floor))
@@ -350,7 +388,11 @@ def cluster_per_class(points: DataFrame, algorithm: str, params: dict, *, floor:
     cents = geometry.centroids(points.join(ids.filter("cluster is not null").select("id", "cluster"), "id"), "cluster").join(named.select("cluster", "class"), "cluster")
     cents = materialize(cents)
     rest = points.join(ids.select("id"), "id", "left_anti")
-    placed = geometry.nearest_centroid(rest, cents, "cluster", within_class=True).select("id", "class", F.expr("nullif(assigned, -1)").alias("cluster"))
+    if algorithm == "hdbscan":
+        local = by_density(rest, points.join(ids.select("id"), "id", "left_semi"), best, grid)
+        placed = local.join(F.broadcast(named), ["class", "local"], "left").select("id", "class", "cluster")
+    else:
+        placed = geometry.nearest_centroid(rest, cents, "cluster", within_class=True).select("id", "class", F.expr("nullif(assigned, -1)").alias("cluster"))
     every = ids.unionByName(placed)
     count = named.count()
     classes = every.filter("cluster is null").select("class").distinct()

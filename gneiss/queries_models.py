@@ -21,7 +21,7 @@ def synth_cleaned(spark, d):
 
 
 def _clusters(spark, d, algorithm, params):
-    labels, _ = clustering.cluster_per_class(emb(spark, d), algorithm, params, max_fit=1000)
+    labels, _ = clustering.cluster_per_class(emb(spark, d), algorithm, params)
     return labels.select("id", "cluster", "is_noise")
 
 

@@ -229,3 +229,14 @@ def test_boosted_predictions_cover_every_class(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = queries_models.boosted_predictions(spark, str(tmp_path)).collect()
     assert {r["y"] for r in got} == {0, 1, 2, 3} and 3 in {r["p"] for r in got}
+
+
+def test_hdbscan_rows_outside_the_fit_can_be_noise(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((150, 2)) * 0.1, rng.standard_normal((150, 2)) * 0.1 + 5, rng.uniform(-400, 400, (60, 2))])
+    df = spark.createDataFrame([(i, 0, r.tolist()) for i, r in enumerate(x)], "id bigint, class int, x array<double>")
+    labels, _ = clustering.cluster_per_class(df, "hdbscan", {"min_cluster_size": 20, "min_samples": 5, "method": "eom"}, max_fit=180)
+    rows = {r["id"]: r for r in labels.collect()}
+    assert len(rows) == 360
+    assert np.mean([rows[i]["is_noise"] for i in range(300)]) < 0.2 and np.mean([rows[i]["is_noise"] for i in range(300, 360)]) > 0.8
+    assert len({rows[i]["cluster"] for i in range(300) if not rows[i]["is_noise"]}) == 2
