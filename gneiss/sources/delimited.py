@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What a number may look like once quotes and outer blanks are gone; fixed values.
-NUMBER = r"^(?:[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:-?inf|nan))?$"
+#: What a number may look like once quotes and outer blanks are gone; fixed values. \z, as $ also matches before a final line end.
+NUMBER = r"^(?:[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:-?inf|nan))?\z"
 
 BROKEN, COUNT, INVALID = "broken_quoting", "column_count", "invalid_value"
 

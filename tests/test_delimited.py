@@ -52,7 +52,8 @@ def _run(spark, texts):
 
 
 FIXED = [None, "", "\r", "a,1,2,b", 'a,"1",2,"b,c"', 'a,1,2,"say ""x"""', 'a,1,2,"', 'a,1,2,b"', 'a,1,2,"b"c', 'a, "1",2,b', "a,5.,.5,b", "a,+inf,1,b", "a,-INF,NaN,b",
-         "a,1e5, 2 ,b", "a,,,", "a,1,2", "a,1,2,b,c", "a,1_0,2,b", "a,١,2,b", '"","","",""', '"""",1,2,""""""', "a,1,2,\x01,\x010", 'a,1,2,"\x01,\x011"', "a,1,2," + '"' + '""' * 20000 + '"', "a,1,2," + "x," * 9000, "a,1,2,b\r\r"]
+         "a,1e5, 2 ,b", "a,,,", "a,1,2", "a,1,2,b,c", "a,1_0,2,b", "a,١,2,b", '"","","",""', '"""",1,2,""""""', "a,1,2,\x01,\x010", 'a,1,2,"\x01,\x011"', "a,1,2," + '"' + '""' * 20000 + '"', "a,1,2," + "x," * 9000, "a,1,2,b\r\r",
+         *(f"a,{v},2,b" for end in "\r\n\x85\u2028\u2029\x0b\x0c\t\xa0" for v in (end, "1" + end, end + "1", f'"1{end}"'))]
 
 
 def test_fixed_cases(spark):
@@ -67,7 +68,7 @@ def test_fixed_cases(spark):
 
 
 @settings(max_examples=3, deadline=None)
-@given(st.lists(st.text(alphabet='a1",. \r', max_size=14), min_size=60, max_size=200))
+@given(st.lists(st.text(alphabet='a1",. \r\n\u2028', max_size=14), min_size=120, max_size=300))
 def test_random_lines(spark, texts):
     loaded, rejects = _run(spark, texts)
     assert [rejects.get(i) for i in range(len(texts))] == [_reason(t) for t in texts]
