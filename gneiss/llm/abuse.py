@@ -7,7 +7,12 @@ never read. Distance-weighted votes of the neighbours' ratings give a passage's
 neighbours are its evidence, and a document's score is that of its worst passage, calibrated on
 the rated documents, each scored without its own passages.
 
-The index is fitted on a bounded sample of rated documents (``max_rated``); term
+Ratings are of documents, not of passages. A document rated abusive has at least one abusive passage, so its rating is
+shared out among its passages by their neighbours in other documents (noisy-or, raters erring at
+the rate at which they contradict each other). A passage that ends without a share is no evidence of abuse, and a passage without
+an abusive example within ``FLOOR`` has vote 0, so only those near one need all of their neighbours.
+
+The index is fitted on a bounded sample of rated documents (``max_rated``, ``max_passages``); term
 statistics cover all passages of all documents, and every passage of every text is scored.
 """
 
@@ -17,22 +22,29 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.plans.scratch import materialize
+from gneiss.plans.scratch import keyed_join, materialize
 
 MAX_RATED = 20_000
+MAX_PASSAGES = 400_000
 NEIGHBOURS = 25
-FLOOR = 0.3
-DRAW = 1.0
+FLOOR = 0.4
+DRAW = 0.1
+#: Shares below this count as none.
+LEAST_SHARE = 0.05
+#: What the terms of a query left out of the first look may add to a cosine.
+SLACK = 0.1
 BLOCK = 16
+QUERIES = 256
 LONG, STEP = 30, 15
+SPELLINGS = 200_000
 
 #: Letters of other scripts that pass for Latin ones, and digits and signs that pass for letters; fixed values.
 LOOKALIKES = str.maketrans("авекмнорстухіјѕԁɡαεικνορτυχ", "abekmhopctyxijsdgaeiknoptux")
@@ -41,34 +53,55 @@ LEET = str.maketrans("013457@$!", "oieastasi")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\s\"'»”)]+|[\n\r\t\x0b\x0c]+")
 _SPELT = re.compile(r"(?<![^\W_])([^\W\d_](?:([ ._*\-])[^\W\d_])(?:\2[^\W\d_])+)(?![^\W_])")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
-_NAMED = re.compile(r"[^\W\d_]+-\d+")
+_NAMED = re.compile(r"(?<![^\W\d_])[^\W\d_]+-\d+")
 _LEETED = re.compile(r"(?<![^\W_])(?:[a-z]+[013457@$!]+(?=[a-z])|[@$](?=[a-z]))[a-z013457@$!]*")
 _UNSEEN = regex.compile(r"[\p{Cf}\p{Mn}]+")
 _WORD = re.compile(r"[^\W_]+|#")
-_MIXED = re.compile(r"[^\W\d_]*(?:[a-z][а-яіјѕα-ω]|[а-яіјѕα-ω][a-z])[^\W\d_]*")
+_MIXED = re.compile(r"(?:[a-z][а-яіјѕα-ω]|[а-яіјѕα-ω][a-z])")
+
+
+def _words(token: str) -> list[str]:
+    """The words of a stretch of text without blanks, with disguises undone: look-alike letters, digits for letters, stretched words; numbers become #."""
+    if not token.isascii():
+        token = re.sub(r"[^\W\d_]+", lambda m: m[0].translate(LOOKALIKES) if _MIXED.search(m[0]) else m[0], token)
+    token = _NAMED.sub("#", token)
+    token = _LEETED.sub(lambda m: m[0].translate(LEET), token)
+    token = _STRETCHED.sub(r"\1", token)
+    return ["#" if any(c.isdigit() for c in w) else w for w in _WORD.findall(token)]
+
 
+def cutter() -> Callable[[str | None], list[str]]:
+    """A function from a text to its distinct passages as strings of plain words: its sentences, long ones in overlapping windows.
 
-def plain(text: str) -> str:
-    """The text in lower case with disguises undone: invisible signs, look-alike letters, spelt-out and stretched words, digits for letters."""
-    if not text.isascii():
-        text = _UNSEEN.sub("", unicodedata.normalize("NFKC", text))
-    text = text.lower()
-    if not text.isascii():
-        text = _MIXED.sub(lambda m: m[0].translate(LOOKALIKES), text)
-    text = _SPELT.sub(lambda m: m[0].replace(m[2], ""), text)
-    text = _NAMED.sub("#", text)
-    text = _LEETED.sub(lambda m: m[0].translate(LEET), text)
-    return _STRETCHED.sub(r"\1", text)
+    Each spelling is worked out once and kept, up to a bound on memory.
+    """
+    known: dict[str, list[str]] = {}
+
+    def passages(text: str | None) -> list[str]:
+        text = text or ""
+        if not text.isascii():
+            text = _UNSEEN.sub("", unicodedata.normalize("NFKC", text))
+        text = _SPELT.sub(lambda m: m[0].replace(m[2], ""), text.lower())
+        out: dict[str, None] = {}
+        for part in _SENTENCE.split(text):
+            words: list[str] = []
+            for token in part.split():
+                plain = known.get(token)
+                if plain is None:
+                    if len(known) >= SPELLINGS:
+                        known.clear()
+                    plain = known[token] = _words(token)
+                words += plain
+            if words:
+                for i in range(0, max(1, len(words) - LONG + STEP) if len(words) > LONG else 1, STEP):
+                    out[" ".join(words[i : i + LONG])] = None
+        return list(out)
+
+    return passages
 
 
 def passages(text: str | None) -> list[str]:
-    """A text's passages as strings of plain words: its sentences, long ones in overlapping windows; numbers become #."""
-    out = []
-    for part in _SENTENCE.split(text or ""):
-        if part and (words := ["#" if any(c.isdigit() for c in w) else w for w in _WORD.findall(plain(part))]):
-            for i in range(0, max(1, len(words) - LONG + STEP) if len(words) > LONG else 1, STEP):
-                out.append(" ".join(words[i : i + LONG]))
-    return list(dict.fromkeys(out))
+    return cutter()(text)
 
 
 def terms(passage: str) -> Counter:
@@ -77,256 +110,351 @@ def terms(passage: str) -> Counter:
     return Counter([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))])
 
 
-def idf(df: float, n: float) -> float:
-    return math.log((n + 1) / (df + 0.5))
+#: terms() as an expression over ``passage``, each term once.
+_TERMS = """array_distinct(concat(split(passage, ' '),
+    transform(sequence(1, greatest(size(split(passage, ' ')) - 1, 1)),
+      i -> if(i < size(split(passage, ' ')), concat_ws(' ', slice(split(passage, ' '), i, 2)), split(passage, ' ')[0]))))"""
+
+
+def idf(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log((n + 1) / (np.asarray(df, float) + 0.5))
+
+
+def _spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges lo..hi one after another, and the ranges' widths."""
+    width = hi - lo
+    return np.repeat(lo - np.cumsum(width) + width, width) + np.arange(width.sum()), width
+
+
+class Space:
+    """Terms of the examples with their weights."""
+
+    def __init__(self, vocabulary: list[str], df: np.ndarray, n: int):
+        self.at = {t: i for i, t in enumerate(vocabulary)}
+        self.idf = idf(df, n)
+
+    def vectors(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[str, int]]]]:
+        """Row, term and weight of the known terms, by row, and each row's unknown terms with their counts."""
+        row, at, tf, unknown = [], [], [], []
+        for i, p in enumerate(batch):
+            rest = []
+            for t, c in terms(p).items():
+                j = self.at.get(t)
+                if j is None:
+                    rest.append((t, c))
+                else:
+                    row.append(i)
+                    at.append(j)
+                    tf.append(c)
+            unknown.append(rest)
+        term = np.array(at, np.int64)
+        return np.array(row, np.int64), term, (1 + np.log(np.array(tf, float))) * self.idf[term], unknown
+
+
+class Index:
+    """Vectors in blocks under an inverted index: the largest weight of a term in every block, then the weights themselves."""
+
+    def __init__(self, row: np.ndarray, at: np.ndarray, weight: np.ndarray, n: int, n_terms: int):
+        """``row`` (rising), ``at``, ``weight``: the entries of ``n`` vectors over ``n_terms`` terms. Like neighbours in order make tight bounds."""
+        self.n, self.n_blocks = n, -(-n // BLOCK)
+        self.at, self.weight, self.starts = at, weight, np.searchsorted(row, np.arange(n + 1))
+        order = np.lexsort((row, at))
+        term, member, w = at[order], row[order], weight[order]
+        block = member // BLOCK
+        first = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(block) != 0)][: len(term)])
+        self.member, self.member_weight = member % BLOCK, w
+        self.post_block, self.post_end = block[first], np.r_[first, len(term)]
+        self.post_max = np.maximum.reduceat(w, first) if len(first) else w
+        self.post_start = np.searchsorted(term[first], np.arange(n_terms + 1))
+        self.top = np.zeros(n_terms)
+        np.maximum.at(self.top, at, weight)
+        self.column = np.full(n_terms, -1, np.int64)
+
+    def nearest(self, row: np.ndarray, at: np.ndarray, weight: np.ndarray, n: int, k: int = NEIGHBOURS, floor: float = FLOOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, vector and cosine of each query's ``k`` largest cosines of at least ``floor``, largest first, ties by number; exact.
+
+        Terms that can add no more than SLACK in all are left out at first. Blocks whose bound is below the floor are
+        not opened; in the others, members whose sum with the slack can't reach the k-th best sum are dropped, and the rest get their cosines.
+        """
+        if not len(row) or not self.n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        most = weight * self.top[at]
+        order = np.lexsort((most, row))
+        upto = np.cumsum(most[order])
+        small = np.zeros(len(row), bool)
+        small[order] = upto - np.r_[0, upto][np.searchsorted(row, row[order])] < min(SLACK, floor)
+        slack = np.bincount(row[small], most[small], n) + 1e-9
+        main = ~small
+        entry, width = _spans(self.post_start[at[main]], self.post_start[at[main] + 1])
+        w = np.repeat(weight[main], width)
+        cell = np.repeat(row[main], width) * self.n_blocks + self.post_block[entry]
+        bound = np.bincount(cell, w * self.post_max[entry], n * self.n_blocks)
+        alive = (bound > 0) & (bound + np.repeat(slack, self.n_blocks) >= floor)
+        number = np.cumsum(alive) - 1
+        keep = alive[cell]
+        cell, entry, w = cell[keep], entry[keep], w[keep]
+        where, width = _spans(self.post_end[entry], self.post_end[entry + 1])
+        part = np.bincount(np.repeat(number[cell], width) * BLOCK + self.member[where], np.repeat(w, width) * self.member_weight[where], int(number[-1] + 1) * BLOCK)
+        query, block = np.divmod(np.flatnonzero(alive), self.n_blocks)
+        query, other = np.repeat(query, BLOCK), (block[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        keep = (part + slack[query] >= floor) & (other < self.n)
+        query, other, part = query[keep], other[keep], part[keep]
+        order = np.lexsort((-part, query))
+        start = np.searchsorted(query, np.arange(n + 1))
+        least, full = np.full(n, floor), np.diff(start) >= k
+        least[full] = np.maximum(floor, part[order[start[:-1][full] + k - 1]])
+        keep = part + slack[query] >= least[query] - 1e-9
+        query, other = query[keep], other[keep]
+        used, local = np.unique(at, return_inverse=True)
+        self.column[used] = np.arange(len(used))
+        dense = np.zeros((n, len(used) + 1))  # the last column is for terms no query has
+        dense[row, local] = weight
+        where, width = _spans(self.starts[other], self.starts[other + 1])
+        each = dense[np.repeat(query, width), self.column[self.at[where]]] * self.weight[where]
+        cos = np.add.reduceat(each, np.cumsum(width) - width) if len(other) else np.zeros(0)
+        self.column[used] = -1
+        keep = cos >= floor
+        query, other, cos = query[keep], other[keep], cos[keep]
+        order = np.lexsort((other, -cos, query))
+        query, other, cos = query[order], other[order], cos[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+        return query[keep], other[keep], cos[keep]
 
 
 class Examples:
-    """Rated passages in blocks with an inverted index of the blocks' maxima."""
-
-    def __init__(self, texts: list[str], docs: list[list[int]], ratings: dict[int, float], df: dict[str, int], n: int):
-        """``docs``: the rated documents that hold each passage."""
-        order = sorted(range(len(texts)), key=lambda i: texts[i])  # like passages share blocks, so bounds are tight
-        self.texts, self.docs, self.n = [texts[i] for i in order], [docs[i] for i in order], n
-        self.rates = [[ratings[d] for d in ds] for ds in self.docs]
-        self.count()
-        self.vocabulary: dict[str, int] = {}
-        at, weight, starts = [], [], [0]
-        for t in self.texts:
-            tf = terms(t)
-            w = np.array([(1 + math.log(c)) * idf(df.get(k, 0), n) for k, c in tf.items()])
-            at += [self.vocabulary.setdefault(k, len(self.vocabulary)) for k in tf]
-            weight.append(w / (np.linalg.norm(w) or 1))
-            starts.append(len(at))
-        self.at, self.starts = np.array(at, np.int64), np.array(starts, np.int64)
-        self.weight = np.concatenate(weight) if weight else np.zeros(0)
-        self.idf = np.array([idf(df.get(k, 0), n) for k in self.vocabulary])
-        self.rare = idf(0, n)
-        # (term, block) -> largest weight of the term in the block
-        self.n_blocks = -(-len(self.texts) // BLOCK)
-        block = np.repeat(np.arange(len(self.texts)), np.diff(self.starts)) // BLOCK
-        order2 = np.lexsort((-self.weight, block, self.at))
-        a, b, w = self.at[order2], block[order2], self.weight[order2]
-        first = np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0)] if len(a) else np.zeros(0, bool)
-        self.post_block, self.post_max = b[first], w[first]
-        self.post_start = np.searchsorted(a[first], np.arange(len(self.vocabulary) + 1))
-        self.query = np.zeros(len(self.vocabulary))
-
-    def vector(self, passage: str) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and weights of unit length; unknown terms count in the length."""
-        at, w, rest = [], [], 0.0
-        for k, c in terms(passage).items():
-            i = self.vocabulary.get(k)
-            if i is None:
-                rest += ((1 + math.log(c)) * self.rare) ** 2
-            else:
-                at.append(i)
-                w.append((1 + math.log(c)) * self.idf[i])
-        at, w = np.array(at, np.int64), np.array(w)
-        return at, w / math.sqrt((w @ w) + rest or 1)
-
-    def nearest(self, passage: str, k: int = NEIGHBOURS, floor: float = FLOOR) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine of at least ``floor``, and the cosines; exact."""
-        at, w = self.vector(passage)
-        none = np.zeros(0, np.int64), np.zeros(0)
-        if not len(at) or not self.n_blocks:
-            return none
-        lists = [slice(self.post_start[t], self.post_start[t + 1]) for t in at]
-        blocks = np.concatenate([self.post_block[s] for s in lists])
-        most = np.concatenate([self.post_max[s] * x for s, x in zip(lists, w)])
-        bound = np.bincount(blocks, most, self.n_blocks)
-        order = np.flatnonzero(bound >= floor)
-        order = order[np.argsort(-bound[order], kind="stable")]
-        self.query[at] = w
-        found, cosines, least = [], [], floor
-        step = 2
-        i = 0
-        while i < len(order) and bound[order[i]] >= least:
-            some = order[i : i + step]
-            i += step
-            step = min(step * 2, 32)
-            some = some[bound[some] >= least]
-            lo, hi = self.starts[some * BLOCK], self.starts[np.minimum((some + 1) * BLOCK, len(self.texts))]
-            width = hi - lo
-            where = np.repeat(lo - np.cumsum(width) + width, width) + np.arange(width.sum())
-            rows = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            rows = rows[rows < len(self.texts)]
-            length = self.starts[rows + 1] - self.starts[rows]
-            cos = np.add.reduceat(self.query[self.at[where]] * self.weight[where], np.cumsum(length) - length)
-            ok = cos >= least
-            found.append(rows[ok])
-            cosines.append(cos[ok])
-            if found and sum(map(len, found)) > k:
-                every, cos = np.concatenate(found), np.concatenate(cosines)
-                top = np.argsort(-cos, kind="stable")[:k]
-                found, cosines = [every[top]], [cos[top]]
-                least = max(floor, cos[top[-1]])
-        self.query[at] = 0
-        if not found:
-            return none
-        every, cos = np.concatenate(found), np.concatenate(cosines)
-        top = np.lexsort((every, -cos))[:k]
-        return every[top], cos[top]
-
-    def count(self) -> None:
-        """Sum and number of the ratings of each passage."""
-        self.votes = np.array([sum(r) for r in self.rates], float)
-        self.size = np.array([len(r) for r in self.rates], float)
-
-    def vote(self, near: np.ndarray, cos: np.ndarray, prior: float, without: int | None = None) -> float:
-        """Distance-weighted mean rating of the neighbours, drawn to the prior where they are few or far."""
-        votes, size = self.votes[near], self.size[near]
-        if without is not None:
-            for j, i in enumerate(near):
-                for d, r in zip(self.docs[i], self.rates[i]):
-                    if d == without:
-                        votes[j] -= r
-                        size[j] -= 1
-        return weighted_vote(votes, size, cos, prior)
-
-    def settle(self, near: dict[str, tuple[np.ndarray, np.ndarray]], prior: float) -> None:
-        """Give a document's rating to the passages that earn it.
-
-        A rating is of a whole document. Where some passage of a document rated abusive is abusive by the
-        other documents' votes, its other passages are not evidence of abuse.
+    """The distinct passages of the rated documents, in order, with the documents that hold each."""
+
+    def __init__(self, rows: list[tuple[str, int]], ratings: dict[int, float]):
+        rows = sorted(rows)
+        self.texts = list(dict.fromkeys(t for t, _ in rows))
+        number = {t: i for i, t in enumerate(self.texts)}
+        self.passage = np.array([number[t] for t, _ in rows], np.int64)
+        self.docs, self.doc = np.unique(np.array([d for _, d in rows], np.int64), return_inverse=True)
+        self.rating = np.array([ratings[d] for d in self.docs.tolist()])
+        self.size = np.bincount(self.passage, minlength=len(self.texts)).astype(float)
+
+    def fit(self, vocabulary: list[str], df: np.ndarray, n: int) -> None:
+        self.space = Space(vocabulary, df, n)
+        self.row, self.at, self.weight, _ = self.space.vectors(self.texts)
+        length = np.sqrt(np.bincount(self.row, self.weight**2, len(self.texts)))
+        self.weight = self.weight / np.where(length > 0, length, 1)[self.row]
+        self.index = Index(self.row, self.at, self.weight, len(self.texts), len(vocabulary))
+
+    def only(self, which: np.ndarray) -> Index:
+        """An index of the chosen examples alone."""
+        keep = which[self.row]
+        return Index((np.cumsum(which) - 1)[self.row[keep]], self.at[keep], self.weight[keep], int(which.sum()), len(self.space.at))
+
+    def near(self, numbers: np.ndarray, screen: Index | None = None) -> pd.DataFrame:
+        """q, j, cos: neighbours of the examples ``numbers``, themselves included; with ``screen`` only of those with a neighbour in it."""
+        out = [pd.DataFrame({"q": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "cos": np.zeros(0)})]
+        for lo in range(0, len(numbers), QUERIES):
+            some = numbers[lo : lo + QUERIES]
+            for index, k in ((screen, 1), (self.index, NEIGHBOURS)):
+                if index is not None:
+                    where, width = _spans(np.searchsorted(self.row, some), np.searchsorted(self.row, some + 1))
+                    q, j, cos = index.nearest(np.repeat(np.arange(len(some)), width), self.at[where], self.weight[where], len(some), k)
+                    if index is screen:
+                        some = some[np.unique(q)]
+            out.append(pd.DataFrame({"q": some[q], "j": j, "cos": cos}))
+        return pd.concat(out, ignore_index=True)
+
+    def share(self, near: pd.DataFrame, error: float, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """(votes of every example, vote of every document without its own passages).
+
+        Each round a passage's chance of being abusive comes from its neighbours in other documents, a document's from
+        its passages' and its rating, and the rating goes to the passages in proportion. Passages without ``near`` take no share.
         """
-        loo: dict[int, list[tuple[int, int, float]]] = {}
-        for i, (text, docs, rates) in enumerate(zip(self.texts, self.docs, self.rates)):
-            for j, (d, r) in enumerate(zip(docs, rates)):
-                if r > 0.5:
-                    loo.setdefault(d, []).append((i, j, self.vote(*near[text], prior, d)))
-        for found in loo.values():
-            if max(v for *_, v in found) >= 0.5:
-                for i, j, v in found:
-                    if v < 0.5:
-                        self.rates[i][j] = 0.0
-        self.count()
-
-
-def weighted_vote(votes: np.ndarray, size: np.ndarray, cos: np.ndarray, prior: float) -> float:
-    live = size > 0
-    # a passage that many documents hold counts more, but not in proportion
-    w = cos[live] ** 3 * np.sqrt(size[live])
-    return float((w @ (votes[live] / size[live]) + DRAW * prior) / (w.sum() + DRAW))
-
-
-def calibration(votes: np.ndarray, ratings: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve from votes to ratings (lightly regularised Newton steps)."""
+        near = near.sort_values(["q", "cos", "j"], ascending=[True, False, True])
+        q, j, cos = near["q"].to_numpy(), near["j"].to_numpy(), near["cos"].to_numpy()
+        n, n_docs = len(self.texts), len(self.docs)
+        key = self.passage * n_docs + self.doc
+        order = np.argsort(key)
+        passage, doc, key = self.passage[order], self.doc[order], key[order]
+        where, width = _spans(np.searchsorted(q, passage), np.searchsorted(q, passage + 1))
+        pair, j, cos = np.repeat(np.arange(len(key)), width), j[where], cos[where]
+        at = np.minimum(np.searchsorted(key, j * n_docs + doc[pair]), len(key) - 1)
+        own = key[at] == j * n_docs + doc[pair]
+        size = self.size[j] - own
+        weight = np.where(size > 0, cos**3 * np.sqrt(size), 0)
+        total = np.bincount(pair, weight, len(key))
+        known = np.bincount(pair, minlength=len(key)) > 0
+        per_doc = len(key) / n_docs
+        prior = max(float(self.rating.mean()), 1e-3) / per_doc
+        says = error + (1 - 2 * error) * self.rating
+        share = np.where(known, self.rating[doc], 0.0)
+        vote = np.zeros(len(key))
+        for _ in range(rounds):
+            votes = np.bincount(passage, share, n)
+            mean = (votes[j] - np.where(own, share[at], 0)) / np.maximum(size, 1)
+            abusive = np.bincount(pair, weight * mean, len(key))
+            vote = abusive / (total + DRAW)
+            chance = np.where(known, np.clip((abusive + DRAW * prior) / (total + DRAW), 1e-6, 1 - 1e-6), 0)
+            some = np.maximum(1 - np.exp(np.bincount(doc, np.log1p(-chance), n_docs)), 1e-12)
+            true = some * says / (some * says + (1 - some) * (1 - says))
+            share = chance / some[doc] * true[doc]
+        share = np.where(share < LEAST_SHARE, 0, share)
+        alone = np.zeros(n_docs)
+        np.maximum.at(alone, doc, vote)
+        return np.bincount(passage, share, n), alone
+
+
+def calibration(votes: np.ndarray, ratings: np.ndarray, start: tuple[float, float] = (10.0, -4.0)) -> tuple[float, float]:
+    """Slope and offset of the logistic curve from votes to ratings by Newton steps, held near ``start`` where ratings are few."""
     x = np.stack([votes, np.ones(len(votes))], axis=1)
-    beta = np.array([4.0, -2.0])
-    start = beta.copy()
-    for _ in range(50):
+    origin = np.array(start)
+    beta = origin.copy()
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (p - ratings) + 1e-2 * (beta - start)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
+        gradient = x.T @ (p - ratings) + (beta - origin)
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2)
         step = np.linalg.solve(hessian, gradient)
-        beta = beta - step
+        beta = beta - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
     return float(beta[0]), float(beta[1])
 
 
 def document_ratings(labels: DataFrame) -> DataFrame:
-    """doc_id, rating: the mean of a document's distinct ratings; null ratings are none."""
+    """doc_id, rating, n: the mean and number of a document's distinct ratings; null ratings are none."""
     rows = labels.filter("doc_id is not null and abusive is not null").select("doc_id", "rater", "abusive", "labelled_at").distinct()
-    return rows.groupBy("doc_id").agg(F.avg("abusive").alias("rating"))
+    return rows.groupBy("doc_id").agg(F.avg("abusive").alias("rating"), F.count(F.lit(1)).alias("n"))
+
+
+def rater_error(ratings: np.ndarray, counts: np.ndarray) -> float:
+    """The rate at which single ratings err, from how often two of one document differ; at least 0.01."""
+    yes, pairs = ratings * counts, counts * (counts - 1) / 2
+    differ = float((yes * (counts - yes)).sum() / pairs.sum()) if pairs.sum() else 0.04
+    return max(0.01, (1 - math.sqrt(max(0.0, 1 - 2 * differ))) / 2)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, *, max_rated: int = MAX_RATED) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, *, max_rated: int = MAX_RATED, max_passages: int = MAX_PASSAGES) -> DataFrame:
     """doc_id, score, vote, passage, evidence: every document's calibrated score in 0..1 with its worst passage and that
     passage's nearest rated example.
 
-    Null, empty and blank texts have no passage and score 0, as does everything when no document is rated. A
-    document rated itself is scored without its own passages. Texts are read whole; ids
-    should be unique; null ids are left out. ``max_rated`` bounds the rated documents
-    that make up the index; beyond it those with the smallest hashed ids are taken.
+    A document without an abusive example within reach of any passage has vote 0 and neither passage nor evidence. Texts without a
+    word (null, empty, blank) score 0, as does everything when no document is rated abusive. A document rated itself is scored without its own
+    passages and has no evidence. Texts are read whole; ids should be unique; null ids are left out. ``max_rated`` and
+    ``max_passages`` bound the rated documents that make up the index, those with the smallest hashed ids first.
     """
     spark = docs.sparkSession
+    sc = spark.sparkContext
     docs = docs.filter(F.col("doc_id").isNotNull())
+    tasks = max(sc.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = cutter()
         for pdf in it:
-            each = [passages(t) for t in pdf["text"]]
+            each = [own(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].repeat([len(p) for p in each]).to_numpy(), "passage": [s for p in each for s in p]})
 
     key = [F.xxhash64("passage").alias("k1"), F.xxhash64(F.lit(1), "passage").alias("k2")]
-    held = materialize(docs.select("doc_id", "text").mapInPandas(cut, "doc_id bigint, passage string"))
-    distinct = materialize(held.groupBy("passage").agg(F.count(F.lit(1)).alias("n")).select("passage", "n", *key).repartition("passage"))
+    held = materialize(docs.select("doc_id", "text").mapInPandas(cut, "doc_id bigint, passage string").select("doc_id", *key, "passage"))
+    distinct = held.groupBy("k1", "k2").agg(F.any_value("passage").alias("passage"), F.count(F.lit(1)).alias("n"))
+    distinct = materialize(distinct.repartition(tasks, "k1", "k2"))
     n = distinct.agg(F.sum("n")).first()[0] or 0
 
-    # the rated sample: bounded by max_rated documents
+    # the rated sample: bounded by max_rated documents and max_passages passages
     rated = document_ratings(labels).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    rated = materialize(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated))
-    ratings = {r["doc_id"]: r["rating"] for r in rated.collect()}
-    examples: dict[str, list[int]] = {}
-    for r in held.join(F.broadcast(rated.select("doc_id")), "doc_id", "left_semi").orderBy("doc_id", "passage").collect():
-        examples.setdefault(r["passage"], []).append(r["doc_id"])
-    vocabulary = spark.sparkContext.broadcast({t for s in examples for t in terms(s)})
-
-    def frequencies(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = vocabulary.value
-        total: Counter = Counter()
-        for pdf in it:
-            for s, c in zip(pdf["passage"], pdf["n"]):
-                for t in terms(s):
-                    if t in known:
-                        total[t] += c
-        yield pd.DataFrame({"term": list(total), "df": list(total.values())}).astype({"term": str, "df": "int64"})
-
-    df = distinct.select("passage", "n").mapInPandas(frequencies, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
-    index = Examples(list(examples), list(examples.values()), ratings, {r["term"]: r["df"] for r in df.collect()}, n)
-    prior = float(np.mean(list(ratings.values()))) if ratings else 0.0
-    sent = spark.sparkContext.broadcast(index)
-
-    def neighbours(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = sent.value
-        for pdf in it:
-            found = [own.nearest(s) for s in pdf["passage"]]
-            yield pdf.assign(near=[i for i, _ in found], cos=[c for _, c in found])
-
-    near = materialize(
-        distinct.drop("n").mapInPandas(neighbours, "passage string, k1 bigint, k2 bigint, near array<bigint>, cos array<double>")
+    rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
+    lengths = held.join(F.broadcast(rated), "doc_id").groupBy("doc_id", "rating", F.col("n").alias("times")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # max_rated rows at most
+    rated = materialize(lengths.withColumn("upto", upto).filter(F.col("upto") <= max_passages).select("doc_id", "rating", "times"))
+    known = rated.toPandas()
+    zero = docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0.0).alias("vote"), F.lit(None).cast("string").alias("passage"), F.lit(None).cast("string").alias("evidence"))
+    if known.empty:
+        return zero
+    rows = held.join(F.broadcast(rated.select("doc_id")), "doc_id", "left_semi").select("passage", "doc_id").toPandas()
+    own = Examples(list(zip(rows["passage"], rows["doc_id"])), dict(zip(known["doc_id"], known["rating"])))
+    error = rater_error(known["rating"].to_numpy(float), known["times"].to_numpy(float))
+
+    # in how many passages every term occurs
+    frequency = materialize(
+        distinct.select(F.explode(F.expr(_TERMS)).alias("term"), "n").groupBy(F.xxhash64("term").alias("h")).agg(F.sum("n").alias("df"))
     )
-    # neighbours of the examples themselves: bounded as they are
-    own_keys = spark.createDataFrame(pd.DataFrame({"passage": index.texts}), "passage string")
-    own = {r["passage"]: (np.array(r["near"], np.int64), np.array(r["cos"])) for r in near.join(F.broadcast(own_keys), "passage", "left_semi").toLocalIterator()}
-    index.settle(own, prior)
-    alone: dict[int, tuple[float, str]] = {}
-    for text, ds in zip(index.texts, index.docs):
-        for d in ds:
-            alone[d] = max(alone.get(d, (0.0, "")), (index.vote(*own[text], prior, d), text))
-    slope, offset = calibration(np.array([alone[d][0] for d in alone]), np.array([ratings[d] for d in alone])) if alone else (0.0, -30.0)
-    final = spark.sparkContext.broadcast((index.votes, index.size, index.texts))
-
-    def votes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        votes, size, texts = final.value
-        for pdf in it:
-            rows = [(np.asarray(i, np.int64), np.asarray(c, float)) for i, c in zip(pdf["near"], pdf["cos"])]
-            yield pd.DataFrame(
-                {
-                    "k1": pdf["k1"], "k2": pdf["k2"], "passage": pdf["passage"],
-                    "vote": [weighted_vote(votes[i], size[i], c, prior) for i, c in rows],
-                    "evidence": [texts[i[0]] if len(i) else None for i, _ in rows],
-                }
-            )
-
-    voted = near.mapInPandas(votes, "k1 bigint, k2 bigint, passage string, vote double, evidence string")
+    vocabulary = list(dict.fromkeys(t for s in own.texts for t in terms(s)))
+    words = spark.createDataFrame(pd.DataFrame({"term": vocabulary}), "term string").withColumn("h", F.xxhash64("term"))
+    found = frequency.join(F.broadcast(words), "h").select("term", "df").toPandas().set_index("term")["df"]
+    own.fit(vocabulary, found.reindex(vocabulary).to_numpy(), n)
+
+    # the examples' neighbours among themselves: first those that may carry a rating, then those near one that does
+    sent = sc.broadcast(own)
+
+    def neighbours(numbers: np.ndarray, screen: Index | None) -> pd.DataFrame:
+        far = sc.broadcast(screen)
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                yield sent.value.near(np.sort(pdf["i"].to_numpy()), far.value)
+
+        ask = spark.createDataFrame(pd.DataFrame({"i": numbers}), "i bigint").repartition(tasks)
+        return ask.mapInPandas(run, "q bigint, j bigint, cos double").toPandas()
+
+    accused = np.zeros(len(own.texts), bool)
+    accused[own.passage[own.rating[own.doc] > 0]] = True
+    if not accused.any():
+        return zero
+    near = neighbours(np.flatnonzero(accused), None)
+    votes, _ = own.share(near, error)
+    if (votes > 0).any():
+        near = pd.concat([near, neighbours(np.flatnonzero(~accused), own.only(votes > 0))], ignore_index=True)
+    votes, alone = own.share(near, error)
+    slope, offset = calibration(alone, own.rating)
+    final = sc.broadcast((votes / own.size, own.only(votes > 0)))
+
+    # passages that may be near an abusive example, as far as known terms tell
+    def screen(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        space, abusive = sent.value.space, final.value[1]
+        for whole in it:
+            for lo in range(0, len(whole), QUERIES):
+                pdf = whole.iloc[lo : lo + QUERIES]
+                row, at, w, unknown = space.vectors(pdf["passage"].tolist())
+                length = np.bincount(row, w**2, len(pdf))
+                q, _, cos = abusive.nearest(row, at, w / np.sqrt(np.maximum(length, 1e-300))[row], len(pdf), 1)
+                if len(q):
+                    yield pdf.iloc[q].assign(room=length[q] * ((cos / FLOOR) ** 2 - 1), unknown=[[t for t, _ in unknown[i]] for i in q], tf=[[c for _, c in unknown[i]] for i in q])
+
+    candidates = distinct.select("k1", "k2", "passage").mapInPandas(
+        screen, "k1 bigint, k2 bigint, passage string, room double, unknown array<string>, tf array<int>"
+    )
+    candidates = materialize(candidates)
+    each = candidates.select("k1", "k2", F.explode(F.arrays_zip("unknown", "tf")).alias("u")).select("k1", "k2", F.xxhash64("u.unknown").alias("h"), "u.tf")
+    weight = (1 + F.log("tf")) * F.log((F.lit(float(n)) + 1) / (F.col("df") + 0.5))
+    rest = keyed_join(each, frequency, ["h"], "df", n).groupBy("k1", "k2").agg(F.sum(weight * weight).alias("rest"))
+    candidates = candidates.drop("unknown", "tf").join(rest, ["k1", "k2"], "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
+    candidates = candidates.filter(F.col("rest") <= F.col("room") + 1e-9).repartition(tasks, "k1", "k2")
+
+    def vote(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, (mean, _) = sent.value, final.value
+        for whole in it:
+            for lo in range(0, len(whole), QUERIES):
+                pdf = whole.iloc[lo : lo + QUERIES]
+                row, at, w, _ = own.space.vectors(pdf["passage"].tolist())
+                length = np.sqrt(np.bincount(row, w**2, len(pdf)) + pdf["rest"].to_numpy())
+                q, j, cos = own.index.nearest(row, at, w / length[row], len(pdf))
+                weight = cos**3 * np.sqrt(own.size[j])
+                votes = np.bincount(q, weight * mean[j], len(pdf)) / (np.bincount(q, weight, len(pdf)) + DRAW)
+                first = np.searchsorted(q, np.arange(len(pdf)))
+                some = votes > 0
+                yield pd.DataFrame({"k1": pdf["k1"][some], "k2": pdf["k2"][some], "passage": pdf["passage"][some], "vote": votes[some], "evidence": [own.texts[i] for i in j[first[some]]]})
+
+    voted = materialize(
+        candidates.select("k1", "k2", "passage", "rest").mapInPandas(vote, "k1 bigint, k2 bigint, passage string, vote double, evidence string")
+    )
+    voted = voted.join(distinct.select("k1", "k2", "n"), ["k1", "k2"])
     worst = (
-        held.select("doc_id", *key)
-        .join(voted, ["k1", "k2"])
+        keyed_join(held.select("doc_id", "k1", "k2"), voted, ["k1", "k2"], "n", n)
         .groupBy("doc_id")
         .agg(F.max(F.struct("vote", "passage", "evidence")).alias("w"))
     )
-    loo = spark.createDataFrame(
-        pd.DataFrame([(d, v, t) for d, (v, t) in alone.items()], columns=["doc_id", "own_vote", "own_passage"]).astype({"doc_id": "int64", "own_vote": float}),
-        "doc_id bigint, own_vote double, own_passage string",
-    )
-    every = docs.select("doc_id").join(worst, "doc_id", "left").join(F.broadcast(loo), "doc_id", "left")
-    vote = F.coalesce("own_vote", "w.vote")
+    loo = spark.createDataFrame(pd.DataFrame({"doc_id": own.docs, "own_vote": alone}), "doc_id bigint, own_vote double")
+    worded = F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}#]"), F.lit(False))
+    every = docs.select("doc_id", worded.alias("worded")).join(worst, "doc_id", "left").join(F.broadcast(loo), "doc_id", "left")
+    total = F.coalesce("own_vote", "w.vote", F.lit(0.0))
     return every.select(
         "doc_id",
-        F.coalesce(1 / (1 + F.exp(-(F.lit(slope) * vote + offset))), F.lit(0.0)).alias("score"),
-        vote.alias("vote"),
-        F.coalesce("own_passage", "w.passage").alias("passage"),
+        F.when(F.col("worded"), 1 / (1 + F.exp(-(F.lit(slope) * total + offset)))).otherwise(0.0).alias("score"),
+        total.alias("vote"),
+        F.col("w.passage").alias("passage"),
         F.when(F.col("own_vote").isNull(), F.col("w.evidence")).alias("evidence"),
     )

@@ -76,9 +76,9 @@ def test_leaks_against_brute_force(spark):
 
 
 def test_disguises_are_undone():
-    assert abuse.plain("You f.o.o.l, you are s t u p i d and baaaaad") == "you fool, you are stupid and baad".replace("baad", "bad")
-    assert abuse.plain("i​di­ot 1d 1 m0r0n") == "idiot 1d 1 moron"
-    assert abuse.plain("сlоwn") == "clown"
+    assert abuse.passages("You f.o.o.l, you are s t u p i d and baaaaad") == ["you fool you are stupid and bad"]
+    assert abuse.passages("i​di­ot 1d 1 m0r0n ABC-12 2nd") == ["idiot # # moron # #"]
+    assert abuse.passages("сlоwn") == ["clown"] and abuse.passages("слон") == ["слон"]
     assert abuse.passages(None) == abuse.passages(" \n ") == []
     long = " ".join(f"w{chr(97 + i % 26)}" for i in range(200))
     assert {w for p in abuse.passages(long) for w in p.split()} == set(long.split())
@@ -89,20 +89,32 @@ def test_nearest_is_exact():
     vocabulary = ["the", "of"] * 6 + [f"t{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
     texts = list({" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 9))) for _ in range(700)})
     df = Counter(t for s in texts for t in abuse.terms(s))
-    index = abuse.Examples(texts, [[i] for i in range(len(texts))], {i: i % 2 for i in range(len(texts))}, df, len(texts))
+    own = abuse.Examples([(t, i) for i, t in enumerate(texts)], {i: i % 2 for i in range(len(texts))})
+    vocabulary = list(dict.fromkeys(t for s in own.texts for t in abuse.terms(s)))
+    own.fit(vocabulary, np.array([df[t] for t in vocabulary]), len(texts))
 
     def vector(s):
-        v = {t: (1 + math.log(c)) * abuse.idf(df.get(t, 0), len(texts)) for t, c in abuse.terms(s).items()}
+        v = {t: (1 + math.log(c)) * float(abuse.idf(df.get(t, 0), len(texts))) for t, c in abuse.terms(s).items()}
         n = math.sqrt(sum(x * x for x in v.values())) or 1
-        return {t: x / n for t, x in v.items()}
-
-    vectors = [vector(s) for s in index.texts]
-    for q in texts[:60] + ["unknown word here", "the", "taa tab zz the"]:
-        v = vector(q)
-        cos = np.array([sum(x * w.get(t, 0) for t, x in v.items()) for w in vectors])
-        near, got = index.nearest(q, 10, 0.2)
-        want = np.sort(cos[cos >= 0.2])[::-1][:10]
-        assert np.allclose(got, want, atol=1e-9) and np.allclose(cos[near], got, atol=1e-9)
+        return {t: x / n for t, x in v.items()}, n
+
+    vectors = [vector(s)[0] for s in own.texts]
+    queries = texts[:60] + ["unknown word here", "the", "taa tab zz the"]
+    row, at, w, unknown = own.space.vectors(queries)
+    for floor in (0.05, 0.2, 0.5):
+        length = np.array([vector(s)[1] for s in queries])
+        query, near, got = own.index.nearest(row, at, w / length[row], len(queries), 10, floor)
+        for i, s in enumerate(queries):
+            v, _ = vector(s)
+            cos = np.array([sum(x * u.get(t, 0) for t, x in v.items()) for u in vectors])
+            want = np.sort(cos[cos >= floor])[::-1][:10]
+            assert np.allclose(got[query == i], want, atol=1e-9) and np.allclose(cos[near[query == i]], want, atol=1e-9)
+    assert {t for t, _ in unknown[60]} >= {"unknown", "unknown word"}
+
+
+def test_terms_as_an_expression(spark):
+    rows = spark.createDataFrame([("a",), ("a b",), ("a b a b",), ("# x # #",)], "passage string").selectExpr("passage", abuse._TERMS + " as t").collect()
+    assert all(sorted(r["t"]) == sorted(abuse.terms(r["passage"])) for r in rows)
 
 
 def test_held_out_accuracy(spark):
