@@ -412,7 +412,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, max_rated: int = MAX_
                 length = np.bincount(row, w**2, len(pdf))
                 q, _, cos = abusive.nearest(row, at, w / np.sqrt(np.maximum(length, 1e-300))[row], len(pdf), 1)
                 if len(q):
-                    yield pdf.iloc[q].assign(room=length[q] * ((cos / FLOOR) ** 2 - 1), unknown=[[t for t, _ in unknown[i]] for i in q], tf=[[c for _, c in unknown[i]] for i in q])
+                    yield pdf.iloc[q].assign(passage=pdf["passage"].to_numpy(object)[q], room=length[q] * ((cos / FLOOR) ** 2 - 1), unknown=[[t for t, _ in unknown[i]] for i in q], tf=[[c for _, c in unknown[i]] for i in q])
 
     candidates = distinct.select("k1", "k2", "passage").mapInPandas(
         screen, "k1 bigint, k2 bigint, passage string, room double, unknown array<string>, tf array<int>"
@@ -436,7 +436,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, max_rated: int = MAX_
                 votes = np.bincount(q, weight * mean[j], len(pdf)) / (np.bincount(q, weight, len(pdf)) + DRAW)
                 first = np.searchsorted(q, np.arange(len(pdf)))
                 some = votes > 0
-                yield pd.DataFrame({"k1": pdf["k1"][some], "k2": pdf["k2"][some], "passage": pdf["passage"][some], "vote": votes[some], "evidence": [own.texts[i] for i in j[first[some]]]})
+                yield pd.DataFrame({"k1": pdf["k1"][some], "k2": pdf["k2"][some], "passage": pdf["passage"].to_numpy(object)[some], "vote": votes[some], "evidence": [own.texts[i] for i in j[first[some]]]})
 
     voted = materialize(
         candidates.select("k1", "k2", "passage", "rest").mapInPandas(vote, "k1 bigint, k2 bigint, passage string, vote double, evidence string")
