@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -315,6 +316,13 @@ def calibration(votes: np.ndarray, ratings: np.ndarray, start: tuple[float, floa
     return float(beta[0]), float(beta[1])
 
 
+def _slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most QUERIES rows."""
+    for b in it:
+        for lo in range(0, b.num_rows, QUERIES):
+            yield b.slice(lo, QUERIES)
+
+
 def document_ratings(labels: DataFrame) -> DataFrame:
     """doc_id, rating, n: the mean and number of a document's distinct ratings; null ratings are none."""
     rows = labels.filter("doc_id is not null and abusive is not null").select("doc_id", "rater", "abusive", "labelled_at").distinct()
@@ -403,18 +411,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, max_rated: int = MAX_
     final = sc.broadcast((votes / own.size, own.only(votes > 0)))
 
     # passages that may be near an abusive example, as far as known terms tell
-    def screen(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def screen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, abusive = sent.value.space, final.value[1]
-        for whole in it:
-            for lo in range(0, len(whole), QUERIES):
-                pdf = whole.iloc[lo : lo + QUERIES]
-                row, at, w, unknown = space.vectors(pdf["passage"].tolist())
-                length = np.bincount(row, w**2, len(pdf))
-                q, _, cos = abusive.nearest(row, at, w / np.sqrt(np.maximum(length, 1e-300))[row], len(pdf), 1)
-                if len(q):
-                    yield pdf.iloc[q].assign(passage=pdf["passage"].to_numpy(object)[q], room=length[q] * ((cos / FLOOR) ** 2 - 1), unknown=[[t for t, _ in unknown[i]] for i in q], tf=[[c for _, c in unknown[i]] for i in q])
-
-    candidates = distinct.select("k1", "k2", "passage").mapInPandas(
+        for b in _slices(it):
+            row, at, w, unknown = space.vectors(b.column("passage").to_pylist())
+            length = np.bincount(row, w**2, b.num_rows)
+            q, _, cos = abusive.nearest(row, at, w / np.sqrt(np.maximum(length, 1e-300))[row], b.num_rows, 1)
+            room = pa.array(length[q] * ((cos / FLOOR) ** 2 - 1))
+            term = pa.array([[t for t, _ in unknown[i]] for i in q], pa.list_(pa.string()))
+            tf = pa.array([[c for _, c in unknown[i]] for i in q], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(q)).columns, room, term, tf], ["k1", "k2", "passage", "room", "unknown", "tf"])
+
+    candidates = distinct.select("k1", "k2", "passage").mapInArrow(
         screen, "k1 bigint, k2 bigint, passage string, room double, unknown array<string>, tf array<int>"
     )
     candidates = materialize(candidates)
@@ -424,23 +432,21 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, max_rated: int = MAX_
     candidates = candidates.drop("unknown", "tf").join(rest, ["k1", "k2"], "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
     candidates = candidates.filter(F.col("rest") <= F.col("room") + 1e-9).repartition(tasks, "k1", "k2")
 
-    def vote(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vote(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (mean, _) = sent.value, final.value
-        for whole in it:
-            for lo in range(0, len(whole), QUERIES):
-                pdf = whole.iloc[lo : lo + QUERIES]
-                row, at, w, _ = own.space.vectors(pdf["passage"].tolist())
-                length = np.sqrt(np.bincount(row, w**2, len(pdf)) + pdf["rest"].to_numpy())
-                q, j, cos = own.index.nearest(row, at, w / length[row], len(pdf))
-                weight = cos**3 * np.sqrt(own.size[j])
-                votes = np.bincount(q, weight * mean[j], len(pdf)) / (np.bincount(q, weight, len(pdf)) + DRAW)
-                first = np.searchsorted(q, np.arange(len(pdf)))
-                some = votes > 0
-                yield pd.DataFrame({"k1": pdf["k1"][some], "k2": pdf["k2"][some], "passage": pdf["passage"].to_numpy(object)[some], "vote": votes[some], "evidence": [own.texts[i] for i in j[first[some]]]})
-
-    voted = materialize(
-        candidates.select("k1", "k2", "passage", "rest").mapInPandas(vote, "k1 bigint, k2 bigint, passage string, vote double, evidence string")
-    )
+        for b in _slices(it):
+            row, at, w, _ = own.space.vectors(b.column("passage").to_pylist())
+            length = np.sqrt(np.bincount(row, w**2, b.num_rows) + b.column("rest").to_numpy())
+            q, j, cos = own.index.nearest(row, at, w / length[row], b.num_rows)
+            weight = cos**3 * np.sqrt(own.size[j])
+            votes = np.bincount(q, weight * mean[j], b.num_rows) / (np.bincount(q, weight, b.num_rows) + DRAW)
+            some = np.flatnonzero(votes > 0)
+            evidence = pa.array([own.texts[i] for i in j[np.searchsorted(q, some)]], pa.string())
+            kept = b.select(["k1", "k2", "passage"]).take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(votes[some]), evidence], ["k1", "k2", "passage", "vote", "evidence"])
+
+    voted = candidates.select("k1", "k2", "passage", "rest").mapInArrow(vote, "k1 bigint, k2 bigint, passage string, vote double, evidence string")
+    voted = materialize(voted)
     voted = voted.join(distinct.select("k1", "k2", "n"), ["k1", "k2"])
     worst = (
         keyed_join(held.select("doc_id", "k1", "k2"), voted, ["k1", "k2"], "n", n)
