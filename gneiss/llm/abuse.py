@@ -39,7 +39,7 @@ NEIGHBOURS = 25
 FLOOR = 0.4
 DRAW = 0.1
 #: Shares below this count as none.
-LEAST_SHARE = 0.05
+LEAST_SHARE = 0.2
 #: What the terms of a query left out of the first look may add to a cosine.
 SLACK = 0.1
 BLOCK = 16
@@ -368,11 +368,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, max_rated: int = MAX_
     lengths = held.join(F.broadcast(rated), "doc_id").groupBy("doc_id", "rating", F.col("n").alias("times")).agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # max_rated rows at most
     rated = materialize(lengths.withColumn("upto", upto).filter(F.col("upto") <= max_passages).select("doc_id", "rating", "times"))
-    known = rated.toPandas()
+    known = rated.toArrow().to_pandas()
     zero = docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0.0).alias("vote"), F.lit(None).cast("string").alias("passage"), F.lit(None).cast("string").alias("evidence"))
     if known.empty:
         return zero
-    rows = held.join(F.broadcast(rated.select("doc_id")), "doc_id", "left_semi").select("passage", "doc_id").toPandas()
+    rows = held.join(F.broadcast(rated.select("doc_id")), "doc_id", "left_semi").select("passage", "doc_id").toArrow().to_pydict()
     own = Examples(list(zip(rows["passage"], rows["doc_id"])), dict(zip(known["doc_id"], known["rating"])))
     error = rater_error(known["rating"].to_numpy(float), known["times"].to_numpy(float))
 
@@ -381,8 +381,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, max_rated: int = MAX_
         distinct.select(F.explode(F.expr(_TERMS)).alias("term"), "n").groupBy(F.xxhash64("term").alias("h")).agg(F.sum("n").alias("df"))
     )
     vocabulary = list(dict.fromkeys(t for s in own.texts for t in terms(s)))
-    words = spark.createDataFrame(pd.DataFrame({"term": vocabulary}), "term string").withColumn("h", F.xxhash64("term"))
-    found = frequency.join(F.broadcast(words), "h").select("term", "df").toPandas().set_index("term")["df"]
+    words = spark.createDataFrame(pa.table({"term": vocabulary})).withColumn("h", F.xxhash64("term"))
+    found = frequency.join(F.broadcast(words), "h").select("term", "df").toArrow().to_pandas().set_index("term")["df"]
     own.fit(vocabulary, found.reindex(vocabulary).to_numpy(), n)
 
     # the examples' neighbours among themselves: first those that may carry a rating, then those near one that does
@@ -395,8 +395,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, max_rated: int = MAX_
             for pdf in it:
                 yield sent.value.near(np.sort(pdf["i"].to_numpy()), far.value)
 
-        ask = spark.createDataFrame(pd.DataFrame({"i": numbers}), "i bigint").repartition(tasks)
-        return ask.mapInPandas(run, "q bigint, j bigint, cos double").toPandas()
+        ask = spark.createDataFrame(pa.table({"i": numbers})).repartition(tasks)
+        return ask.mapInPandas(run, "q bigint, j bigint, cos double").toArrow().to_pandas()
 
     accused = np.zeros(len(own.texts), bool)
     accused[own.passage[own.rating[own.doc] > 0]] = True
@@ -430,7 +430,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, max_rated: int = MAX_
     weight = (1 + F.log("tf")) * F.log((F.lit(float(n)) + 1) / (F.col("df") + 0.5))
     rest = keyed_join(each, frequency, ["h"], "df", n).groupBy("k1", "k2").agg(F.sum(weight * weight).alias("rest"))
     candidates = candidates.drop("unknown", "tf").join(rest, ["k1", "k2"], "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
-    candidates = candidates.filter(F.col("rest") <= F.col("room") + 1e-9).repartition(tasks, "k1", "k2")
+    candidates = candidates.filter(F.col("rest") <= F.col("room") + 1e-9).repartition(tasks, "k2")  # by another key than the join's, or it is dropped
 
     def vote(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (mean, _) = sent.value, final.value
@@ -453,7 +453,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, max_rated: int = MAX_
         .groupBy("doc_id")
         .agg(F.max(F.struct("vote", "passage", "evidence")).alias("w"))
     )
-    loo = spark.createDataFrame(pd.DataFrame({"doc_id": own.docs, "own_vote": alone}), "doc_id bigint, own_vote double")
+    loo = spark.createDataFrame(pa.table({"doc_id": own.docs, "own_vote": alone}))
     worded = F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}#]"), F.lit(False))
     every = docs.select("doc_id", worded.alias("worded")).join(worst, "doc_id", "left").join(F.broadcast(loo), "doc_id", "left")
     total = F.coalesce("own_vote", "w.vote", F.lit(0.0))
