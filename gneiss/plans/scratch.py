@@ -49,18 +49,18 @@ def broadcast_if(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAS
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
-def keyed_join(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int, parts: int = 1000) -> DataFrame:
-    """``rows`` joined with ``side``, one row per key, none of whose keys gathers its rows in one task.
+def keyed_join(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int, *, how: str = "inner", parts: int = 1000) -> DataFrame:
+    """``rows`` joined (inner or left_anti) with ``side``, one row per key, none of whose keys gathers its rows in one task.
 
-    ``side`` has in ``count`` how many rows a key has at most, with a sum of about ``total`` at most. Keys with more than a
-    ``parts``-th of them, of which there are fewer than ``parts`` times that sum over ``total``, are broadcast; the others are shuffled.
+    ``side`` has in ``count`` how many rows a key has at most. Keys with more than a ``parts``-th of ``total`` are broadcast, the others
+    are shuffled; so the broadcast has fewer than ``parts`` times the counts' sum over ``total`` rows.
     """
     hot = F.col(count) > max(total // parts, 1)
-    frequent = F.broadcast(side.filter(hot))
-    common = frequent.select(*keys)
-    some = rows.join(frequent, keys)
-    others = rows.join(F.broadcast(common), keys, "left_anti").join(side.filter(~hot), keys)
-    return some.unionByName(others)
+    frequent, common = side.filter(hot), side.filter(~hot)
+    others = rows.join(F.broadcast(frequent.select(*keys)), keys, "left_anti")
+    if how == "left_anti":
+        return others.join(common.select(*keys), keys, "left_anti")
+    return rows.join(F.broadcast(frequent), keys).unionByName(others.join(common, keys))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
