@@ -1,192 +1,247 @@
 """The k most similar vectors of every vector (problem 4).
 
-Method: hash-prefix forest. In each tree a vector is a long string of sign bits of
-random projections, and the tree is the array of all strings in sorted order:
-a string's longest-prefix matches are its neighbours there. A partition holds a
-stretch of one tree and reads it as a stream; each block of strings takes as
-candidates the strings around it, which ascends to as short a prefix as the
-window needs, alike in all trees. Each tree keeps its k best candidates of every
-vector, and the best of all trees are the result. The index covers every
-vector; the random projections need no fitting.
-
-Planes through the origin hardly part a dense group. Where a run of equal strings is longer than
-the window, its strings go on with the signs about the run's mean, and so on until every run fits, so
-all vectors of one string meet. Signs about a mean can't all be alike, so every round parts each run. A run
-of vectors that are all at distance 0 after rounding is not parted: its members' nearest are its smallest ids.
-
-Equal directions are one entry of the index, so copies can't crowd each other out.
+Method: hash-prefix forest. In each tree a vector is a long string of bits, the sides of random planes on which it lies, and the tree
+is the array of all strings in sorted order. A vector descends to its longest-prefix matches in all trees of a task, then ascends
+them together, one bit of prefix at a time, until the matches of all trees are ``want`` candidates a tree; a few strings
+before and after a run are candidates too. Candidates are ranked by exact distance and id.
+
+The first bits of a tree are the sides of planes through the median of a bounded sample, so they part any group of distinct vectors
+evenly, however dense. They send every vector to one task per tree (a leaf of about ``leaf`` vectors), where
+the rest of the tree lives in memory: ``local`` arrays of strings that share those first bits. The index covers every vector;
+only the planes are fitted on the sample (SAMPLE rows a tree, parting up to SAMPLE / 16 leaves; in a larger table leaves grow).
+
+Planes through a leaf's mean hardly part a dense group. Where a run of equal strings is longer than ``want``, its strings go on with
+the sides about the run's mean, and so on. Signs about a mean can't all be alike, so every round parts each run. A run
+of vectors that are all at distance 0 after rounding is not parted: its members' nearest are its smallest ids (of the leaf's, where
+such a run is larger than a leaf).
+
+Equal directions are one entry of the index and bring along their smallest ids, so copies can't crowd each other out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.vectors import direction, directions, matrix
-from gneiss.plans.scratch import broadcast_if, materialize
+from gneiss.llm.vectors import direction, directions, matrix, shared_directions
+from gneiss.plans.scratch import keyed_join, materialize
 
-TREES = 12
+TREES = 4
+LOCAL = 4
+WANT = 300
+LEAF = 32_768
+SAMPLE = 65_536
 BITS = 63
-BLOCK = 256
-WINDOW = 384
-#: Pairs whose exact distance is taken at once.
-PAIRS = 1 << 16
+#: Strings before and after a run that are candidates too.
+BESIDE = 32
+#: Distances worked out at once.
+CELLS = 1 << 20
 #: Squared extent below which every pair of a run is at a distance that rounds to 0.
 TIGHT = 9e-10
-ROWS = "tree int, key binary, id bigint, unit array<double>"
-
-
-def _hashes(points: DataFrame, dims: int, trees: int, seed: int) -> DataFrame:
-    """tree, key, id, unit: every point in every tree."""
+NEAR = "array<struct<dist:double,id:bigint>>"
+
+
+class Top:
+    """The first bits of a tree: a binary tree of planes through the sample's medians."""
+
+    def __init__(self, sample: np.ndarray, leaves: float, rng: np.random.Generator):
+        self.planes, self.levels, self.next = [], [], []
+        self.root = self._part(sample, min(leaves, len(sample) / 16), rng)
+        self.n = max(len(self.planes) + 1, 1)
+
+    def _part(self, x: np.ndarray, leaves: float, rng: np.random.Generator) -> int:
+        """Number of the node made, negative for a leaf."""
+        plane = rng.standard_normal(x.shape[1])
+        side = x @ plane
+        level = float(np.median(side)) if len(side) else 0.0
+        if leaves <= 1 or not 0 < (side <= level).sum() < len(side):
+            return -1
+        me = len(self.planes)
+        self.planes.append(plane)
+        self.levels.append(level)
+        self.next.append((-1, -1))
+        self.next[me] = self._part(x[side <= level], leaves / 2, rng), self._part(x[side > level], leaves / 2, rng)
+        return me
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """A number of each row's leaf: its path's last node, twice, and the side."""
+        out = np.zeros(len(x), np.int64)
+        todo = [(self.root, np.arange(len(x)), 0)]
+        while todo:
+            node, rows, name = todo.pop()
+            if node < 0:
+                out[rows] = name
+                continue
+            low = x[rows] @ self.planes[node] <= self.levels[node]
+            todo += [(self.next[node][s], rows[low == (s == 0)], 2 * node + 2 + s) for s in (0, 1)]
+        return out
+
+
+def _strings(unit: np.ndarray, limit: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Rows in the order of their strings, the length of the prefix each string shares with the one before (-1 for the first), and tight runs."""
+    order, shared = np.arange(len(unit)), np.full(len(unit), -1, np.int64)
+    tight, todo = [], [(0, len(unit), 0)]
+    weight = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+    while todo:
+        lo, hi, length = todo.pop()
+        x = unit[order[lo:hi]]
+        if length and ((x.max(axis=0) - x.min(axis=0)) ** 2).sum() < TIGHT:
+            tight.append((lo, hi))
+            continue
+        key = ((x - x.mean(axis=0)) @ rng.standard_normal((x.shape[1], BITS)) > 0) @ weight
+        by = np.argsort(key, kind="stable")
+        order[lo:hi], key = order[lo:hi][by], key[by]
+        # bits from the first difference on
+        rest = np.frexp((key[1:] ^ key[:-1]).astype(float))[1]
+        rest = np.where(key[1:] >> np.maximum(rest - 1, 0) == key[:-1] >> np.maximum(rest - 1, 0), rest - 1, rest)
+        shared[lo + 1 : hi] = length + BITS - np.maximum(rest, 0)
+        edges = np.r_[lo, lo + 1 + np.flatnonzero(shared[lo + 1 : hi] < length + BITS), hi]
+        todo += [(int(edges[i]), int(edges[i + 1]), length + BITS) for i in np.flatnonzero(np.diff(edges) > limit)]
+    return order, shared, tight
+
+
+def _kept(rows: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of (row, key) the ``k`` smallest different keys of each row, by row and key."""
+    row, key = (np.concatenate(x) for x in zip(*rows))
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    new = np.r_[True, (np.diff(row) != 0) | (np.diff(key) != 0)][: len(row)]
+    row, key = row[new], key[new]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], key[keep]
+
+
+def search(unit: np.ndarray, k: int, max_dist: float, *, local: int = LOCAL, want: int = WANT, beside: int = BESIDE, seed: object = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, row of a neighbour and distance for up to ``k`` neighbours of every row of a leaf, nearest first, equal distances by row."""
+    n = len(unit)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if n < 2:
+        return none
+    rng = np.random.default_rng(seed)
+    trees = [_strings(unit, want, rng) for _ in range(local)]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    # a distance in units of 1e-9 and a row make one key, so ties fall to the smaller row
+    most = int(round(min(max_dist, 2.0) * 1e9))
+    done_by = [np.zeros(n, bool) for _ in range(local)]
+    for (order, _, tight), done in zip(trees, done_by):
+        for lo, hi in tight:
+            run = np.sort(order[lo:hi])
+            first, done[order[lo:hi]] = run[: k + 1], True
+            row, other = np.repeat(run, len(first)), np.tile(first, len(run))
+            dist = np.rint(np.maximum(1 - np.einsum("ij,ij->i", unit[row], unit[other]), 0) * 1e9).astype(np.int64)
+            keep = (row != other) & (dist <= most)
+            found.append((row[keep], (dist[keep] << 32) | other[keep]))
+    place = [np.argsort(order) for order, _, _ in trees]
+    waiting = np.ones(n, bool)
+    level = max(int(shared.max()) for _, shared, _ in trees)
+    while waiting.any():
+        level = max(level, 0)
+        runs = [np.r_[0, np.flatnonzero(shared[1:] < level) + 1, n] if level else np.array([0, n]) for _, shared, _ in trees]
+        mine = [np.searchsorted(r, np.arange(n), side="right") - 1 for r in runs]
+        total = sum(np.diff(r)[m][p] for r, m, p in zip(runs, mine, place))
+        now = waiting & (total >= want * local) if level else waiting.copy()
+        for (order, _, _), edges, run, done in zip(trees, runs, mine, done_by):
+            at = np.flatnonzero((now & ~done)[order]) if now.any() else np.zeros(0, np.int64)
+            cuts = np.r_[0, np.flatnonzero(np.diff(run[at])) + 1, len(at)] if len(at) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                lo, hi = max(edges[run[at[a]]] - beside, 0), min(edges[run[at[a]] + 1] + beside, n)
+                others = order[lo:hi]
+                near = unit[others].T
+                step = max(1, CELLS // len(others))
+                for c in range(a, b, step):
+                    ask = at[c : min(c + step, b)]
+                    key = np.rint(np.maximum(1 - unit[order[ask]] @ near, 0) * 1e9).astype(np.int64)
+                    key[np.arange(len(ask)), ask - lo] = 2_000_000_001  # beyond any distance
+                    key = (key << 32) | others
+                    if key.shape[1] > k:
+                        key = np.partition(key, k - 1, axis=1)[:, :k]
+                    row = np.repeat(order[ask], key.shape[1])
+                    key = key.ravel()
+                    keep = key >> 32 <= most
+                    found.append((row[keep], key[keep]))
+        waiting &= ~now
+        level -= 1
+    if not found:
+        return none
+    row, key = _kept(found, k)
+    return row, key & 0xFFFFFFFF, (key >> 32) / 1e9
+
+
+def _routed(classes: DataFrame, dims: int, trees: int, leaf: int, seed: int) -> tuple[DataFrame, int]:
+    """leaf, id, unit, members: every vector once per tree, and the number of leaves of all trees."""
+    n = classes.count()
+    rows = classes.select("unit").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect() if n > leaf else []  # bounded by SAMPLE
+    sample = np.array([np.frombuffer(r[0]) for r in rows]).reshape(-1, dims)
+    tops = [Top(sample, n / leaf, np.random.default_rng((seed, t))) for t in range(trees)]
+    sent = classes.sparkSession.sparkContext.broadcast(tops)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(seed).standard_normal((dims, trees * BITS))
         for b in it:
-            bits = matrix(b.column("unit"), dims) @ planes > 0
-            n = b.num_rows
-            for t in range(trees):
-                tree = pa.array(np.full(n, t, np.int32))
-                key = _packed(bits[:, t * BITS : (t + 1) * BITS])
-                yield pa.RecordBatch.from_arrays([tree, key, b.column("id"), b.column("unit")], ["tree", "key", "id", "unit"])
-
-    return points.select("id", "unit").mapInArrow(batches, ROWS)
-
+            x = matrix(b.column("unit"), dims)
+            for t, top in enumerate(sent.value):
+                yield pa.RecordBatch.from_arrays([pa.array(top.leaf(x) * trees + t), *b.columns], ["leaf", "id", "unit", "members"])
 
-def _packed(bits: np.ndarray) -> pa.Array:
-    """Rows of bits as strings of bytes."""
-    packed = np.packbits(bits, axis=1)
-    return pa.array([r.tobytes() for r in packed], pa.binary())
-
-
-def _longer(crowd: DataFrame, dims: int, trees: int, seed: int) -> DataFrame:
-    """Rows with their run's ``mean``, their strings carried on by the signs about it."""
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(seed).standard_normal((trees, dims, BITS))
-        for b in it:
-            tree = b.column("tree").to_numpy()
-            off = matrix(b.column("unit"), dims) - matrix(b.column("mean"), dims)
-            bits = np.zeros((b.num_rows, BITS), bool)
-            for t in np.unique(tree):
-                bits[tree == t] = off[tree == t] @ planes[t] > 0
-            key = [k + more for k, more in zip(b.column("key").to_pylist(), _packed(bits).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("tree"), pa.array(key, pa.binary()), b.column("id"), b.column("unit")], ["tree", "key", "id", "unit"])
-
-    return crowd.mapInArrow(batches, ROWS)
-
-
-def _strings(classes: DataFrame, dims: int, k: int, trees: int, window: int, seed: int) -> tuple[DataFrame, DataFrame | None]:
-    """(tree, key, id, unit) with no run of equal strings above ``window``, and (id, near) of the members of tight runs."""
-    rows = materialize(_hashes(classes, dims, trees, seed))
-    settled, tied = [], []
-    while True:
-        seed += 1
-        runs = materialize(rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > window).select("tree", "key"))
-        n = runs.count()
-        if not n:
-            settled.append(rows)
-            break
-        settled.append(rows.join(broadcast_if(runs, n, 100), ["tree", "key"], "left_anti"))
-        crowd = materialize(rows.join(broadcast_if(runs, n, 100), ["tree", "key"]))
-        at = [F.col("unit")[i] for i in range(dims)]
-        extent = sum((F.pow(F.max(c) - F.min(c), F.lit(2)) for c in at), F.lit(0.0))
-        facts = materialize(crowd.groupBy("tree", "key").agg(F.array(*[F.avg(c) for c in at]).alias("mean"), extent.alias("extent")))
-        wide = facts.filter(F.col("extent") >= TIGHT).select("tree", "key", "mean")
-        tight = broadcast_if(facts.filter(F.col("extent") < TIGHT).select("tree", "key"), n, 100)
-        rows = materialize(_longer(crowd.join(broadcast_if(wide, n, 100 + 8 * dims), ["tree", "key"]), dims, trees, seed))
-        if facts.filter(F.col("extent") < TIGHT).limit(1).count():
-            alike = crowd.join(tight, ["tree", "key"])
-            order = F.row_number().over(Window.partitionBy("tree", "key").orderBy("id"))
-            first = alike.select("tree", "key", "id").withColumn("r", order).filter(F.col("r") <= k + 1)
-            first = materialize(first.groupBy("tree", "key").agg(F.collect_list(F.struct(F.lit(0.0).alias("dist"), "id")).alias("near")))
-            mine = alike.select("tree", "key", "id").join(broadcast_if(first, n, 100 + 16 * (k + 1)), ["tree", "key"])
-            tied.append(mine.select("id", F.filter("near", lambda s: s["id"] != F.col("id")).alias("near")))
-            # their order says nothing; spread over the tasks
-            spread = F.unhex(F.lpad(F.hex(F.xxhash64("tree", "id")), 16, "0"))
-            settled.append(alike.select("tree", F.concat("key", spread).alias("key"), "id", "unit"))
-    return reduce(DataFrame.unionByName, [s.select("tree", "key", "id", "unit") for s in settled]), reduce(DataFrame.unionByName, tied) if tied else None
-
-
-def _near(ids: np.ndarray, unit: np.ndarray, lo: int, hi: int, k: int, max_dist: float, window: int):
-    """For the rows lo..hi of a stretch: row, neighbour id and distance of their k best within the window around them, nearest first, ties by id.
-
-    float32 only screens: whatever its error may have put behind the k-th best is ranked by exact distance and id.
-    """
-    a, b = max(0, lo - window), min(len(ids), hi + window)
-    cos = unit[lo:hi].astype(np.float32) @ unit[a:b].astype(np.float32).T
-    cos[np.arange(hi - lo), np.arange(lo - a, hi - a)] = -9
-    m = min(k, b - a - 1)
-    if m < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    # a dot product of unit vectors is off by at most (dims + 2) roundings, the distances' 9 decimals come on top
-    error = (unit.shape[1] + 2) * 2.0**-23 + 1e-9
-    least = np.partition(cos, cos.shape[1] - m, axis=1)[:, -m].astype(float) - 2 * error
-    row, col = np.nonzero(cos >= np.maximum(least, 1 - max_dist - error - 1e-9)[:, None])
-    near = ids[a + col]
-    dist = np.concatenate([
-        np.round(1 - np.einsum("ij,ij->i", unit[lo + row[i : i + PAIRS]], unit[a + col[i : i + PAIRS]]), 9) + 0.0 for i in range(0, max(len(row), 1), PAIRS)
-    ])
-    order = np.lexsort((near, dist, row))
-    row, near, dist = row[order], near[order], dist[order]
-    keep = (np.arange(len(row)) - np.searchsorted(row, row) < k) & (dist <= max_dist) & (near != ids[lo + row])
-    return row[keep], near[keep], dist[keep]
+    routed = classes.select("id", "unit", "members").mapInArrow(batches, "leaf bigint, id bigint, unit binary, members array<bigint>")
+    return routed, sum(t.n for t in tops)
 
 
 def class_neighbours(
-    classes: DataFrame, dims: int, k: int, *, max_dist: float = 2.0, trees: int = TREES, window: int = WINDOW, block: int = BLOCK, seed: int = 7
+    classes: DataFrame, dims: int, k: int, *, max_dist: float = 2.0, trees: int = TREES, leaf: int = LEAF, local: int = LOCAL, want: int = WANT, seed: int = 7
 ) -> DataFrame:
-    """id, near: up to ``k`` nearest other directions as structs (dist, id), nearest first, ties by id."""
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[np.ndarray, np.ndarray, int] = (np.zeros(0, np.int64), np.zeros((0, dims)), 0)
-        tree = -1
-
-        def done(ids: np.ndarray, unit: np.ndarray, start: int, upto: int) -> Iterator[pa.RecordBatch]:
-            for lo in range(start, upto, block):
-                hi = min(lo + block, upto)
-                row, near, dist = _near(ids, unit, lo, hi, k, max_dist, window)
-                rows = np.bincount(row, minlength=hi - lo)
-                offsets = pa.array(np.r_[0, np.cumsum(rows)].astype(np.int32))
-                pair = pa.StructArray.from_arrays([pa.array(dist), pa.array(near)], ["dist", "id"])
-                out = pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.ListArray.from_arrays(offsets, pair)], ["id", "near"])
-                yield out.filter(pa.array(rows > 0))
-
-        def push(ids: np.ndarray, unit: np.ndarray) -> Iterator[pa.RecordBatch]:
-            nonlocal kept
-            ids, unit = np.concatenate([kept[0], ids]), np.concatenate([kept[1], unit])
-            start = kept[2]
-            upto = max(start, (len(ids) - window) // block * block)
-            yield from done(ids, unit, start, upto)
-            cut = max(0, upto - window)
-            kept = ids[cut:], unit[cut:], upto - cut
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal kept
-            yield from done(*kept, len(kept[0]))
-            kept = np.zeros(0, np.int64), np.zeros((0, dims)), 0
+    """id, near: up to ``k`` + 1 nearest points of every direction as structs (dist, id), its own members at distance 0 among them.
+
+    ``classes`` has id, unit and members, one row per direction.
+    """
 
+    def answer(held: list[pa.RecordBatch], name: int) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        whole = pa.Table.from_batches(held).combine_chunks().sort_by("id")  # rows in the order of ids
+        ids, unit = whole.column("id").to_numpy(), matrix(whole.column("unit"), dims)
+        members = whole.column("members").combine_chunks()
+        member, first = members.flatten().to_numpy(), np.r_[0, np.cumsum(members.value_lengths().to_numpy())]
+        row, other, dist = search(unit, k, max_dist, local=local, want=want, seed=(seed, name))
+        shared = np.flatnonzero(np.diff(first) > 1)
+        row, other, dist = np.r_[row, shared], np.r_[other, shared], np.r_[dist, np.zeros(len(shared))]
+        width = first[other + 1] - first[other]
+        near = member[np.repeat(first[other] - np.cumsum(width) + width, width) + np.arange(width.sum())]
+        row, dist = np.repeat(row, width), np.repeat(dist, width)
+        order = np.lexsort((near, dist, row))
+        row, near, dist = row[order], near[order], dist[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k + 1
+        row, near, dist = row[keep], near[keep], dist[keep]
+        count = np.bincount(row, minlength=len(ids))
+        some = np.flatnonzero(count)
+        for lo in range(0, len(some), 4096):
+            part = some[lo : lo + 4096]
+            a, b = np.searchsorted(row, [part[0], part[-1] + 1])
+            pair = pa.StructArray.from_arrays([pa.array(dist[a:b]), pa.array(near[a:b])], ["dist", "id"])
+            ends = pa.array(np.r_[0, np.cumsum(count[part])].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.ListArray.from_arrays(ends, pair)], ["id", "near"])
+
+    def leaves(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
         for b in it:
-            t, ids, unit = b.column("tree").to_numpy(), b.column("id").to_numpy(), matrix(b.column("unit"), dims)
-            cuts = [0, *(np.flatnonzero(np.diff(t)) + 1), len(t)]
+            name = b.column("leaf").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(name)) + 1), len(name)]
             for lo, hi in zip(cuts, cuts[1:]):
                 if lo < hi:
-                    if t[lo] != tree:
-                        yield from flush()
-                        tree = t[lo]
-                    yield from push(ids[lo:hi], unit[lo:hi])
-        yield from flush()
-
-    strings, tied = _strings(classes, dims, k, trees, window, seed)
-    # equal strings in another order in every tree
-    stretches = strings.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key", F.xxhash64("tree", "id"))
-    near = stretches.mapInArrow(batches, "id bigint, near array<struct<dist:double,id:bigint>>")
-    near = near if tied is None else near.unionByName(tied)
+                    if name[lo] != now:
+                        yield from answer(held, now)
+                        held, now = [], name[lo]
+                    held.append(b.slice(lo, hi - lo))
+        yield from answer(held, now)
+
+    routed, n = _routed(classes, dims, trees, leaf, seed)
+    tasks = max(2 * n, routed.sparkSession.sparkContext.defaultParallelism)
+    near = routed.repartition(tasks, "leaf").sortWithinPartitions("leaf").mapInArrow(leaves, f"id bigint, near {NEAR}")
     merged = near.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    return merged.select("id", F.slice(F.array_sort("near"), 1, k).alias("near"))
+    return merged.select("id", F.slice(F.array_sort("near"), 1, k + 1).alias("near"))
 
 
 def nearest(points: DataFrame, dims: int, k: int, *, max_dist: float = 2.0, **forest) -> DataFrame:
@@ -196,18 +251,15 @@ def nearest(points: DataFrame, dims: int, k: int, *, max_dist: float = 2.0, **fo
     left out, and a point without any has no row. A single point or an empty table gives no rows.
     """
     classes = materialize(directions(points, k + 1))
-    near = materialize(class_neighbours(classes, dims, k, max_dist=max_dist, **forest))
-    flat = near.select(F.col("id").alias("own"), F.explode("near").alias("n")).select("own", F.col("n.dist").alias("dist"), F.col("n.id").alias("id"))
-    other = flat.join(classes.select("id", "members"), "id").select(
-        "own", F.transform("members", lambda m: F.struct(F.col("dist").alias("dist"), m.alias("id"))).alias("near")
-    )
-    own = classes.filter(F.size("members") > 1).select(
-        F.col("id").alias("own"), F.transform("members", lambda m: F.struct(F.lit(0.0).alias("dist"), m.alias("id"))).alias("near")
-    )
-    pool = other.unionByName(own).groupBy("own").agg(F.flatten(F.collect_list("near")).alias("near"))
-    pool = pool.select("own", F.slice(F.array_sort("near"), 1, k + 1).alias("near"))
-    by_class = classes.select("d1", "d2", F.col("id").alias("own")).join(pool, "own").drop("own")
-    # every member reads its direction's list, less itself
-    members = points.select("id", *direction(F.col("unit"))).join(by_class, ["d1", "d2"])
+    near = class_neighbours(classes.select("id", "unit", "members"), dims, k, max_dist=max_dist, **forest)
+    shared, many, total = shared_directions(points, 1)
     mine = F.slice(F.filter("near", lambda s: s["id"] != F.col("id")), 1, k)
-    return members.select("id", mine.alias("near")).filter(F.size("near") > 0)
+    if not many:
+        return near.select("id", mine.alias("near")).filter(F.size("near") > 0)
+    near = materialize(near)
+    # the other members of a direction read the list of its smallest id
+    rest = keyed_join(points.select("id", *direction(F.col("unit"))), shared.select("d1", "d2", "n", F.col("id").alias("first")), ["d1", "d2"], "n", total)
+    rest = rest.filter("id <> first").select("id", "first")
+    lists = shared.select(F.col("id").alias("first"), "n").join(near.withColumnRenamed("id", "first"), "first")
+    rest = keyed_join(rest, lists, ["first"], "n", total).select("id", "near")
+    return near.select("id", "near").unionByName(rest).select("id", mine.alias("near")).filter(F.size("near") > 0)

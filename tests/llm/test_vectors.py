@@ -49,7 +49,7 @@ def test_invalid_points_take_no_part(spark):
     got = vectors.unit_points(_table(spark, _cloud()[:5], [*BAD, (0, [float(v) for v in _cloud()[0]], "r", "r")]), DIMS)
     assert sorted(r["id"] for r in got.collect()) == [0, 1, 2, 3, 4]
     huge = vectors.unit_points(_table(spark, np.array([[1e300] * DIMS, [1e-300] * DIMS])), DIMS).collect()
-    assert all(abs(np.linalg.norm(r["unit"]) - 1) < 1e-9 for r in huge)
+    assert all(abs(np.linalg.norm(np.frombuffer(r["unit"])) - 1) < 1e-9 for r in huge)
 
 
 @pytest.mark.parametrize(("seed", "block", "sample"), [(1, 4096, 8192), (2, 16, 32), (3, 8, 400)])
@@ -144,14 +144,38 @@ def test_nearest_in_a_dense_group_of_a_third(spark):
     rng = np.random.default_rng(9)
     dense = rng.standard_normal(DIMS) + rng.standard_normal((700, DIMS)) * 3e-3
     x = np.concatenate([dense, _cloud(9, n_groups=50, each=27, noise=50)])
-    assert _recall(spark, x, range(0, 700, 7), window=48, block=32) > 0.9
+    assert _recall(spark, x, range(0, 700, 7), want=24, leaf=400) > 0.9
 
 
 def test_nearest_of_points_alike_after_rounding(spark):
     # 300 distinct directions at rounded distance 0: everyone's nearest are the smallest ids
     rng = np.random.default_rng(10)
     x = np.concatenate([_cloud(10, n_groups=4, each=25), rng.standard_normal(DIMS) + rng.standard_normal((300, DIMS)) * 1e-7])
-    assert _recall(spark, x, range(140, len(x)), window=48, block=32) == 1
+    assert _recall(spark, x, range(140, len(x)), want=48) == 1
+
+
+def test_leaves_share_out_the_points(spark):
+    # a third of the points in one dense group, parted as evenly as the others
+    rng = np.random.default_rng(14)
+    x = np.concatenate([rng.standard_normal(DIMS) + rng.standard_normal((2000, DIMS)) * 1e-4, rng.standard_normal((4000, DIMS))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    top = forest.Top(x[rng.permutation(len(x))[:3000]], 16, rng)
+    sizes = np.unique(top.leaf(x), return_counts=True)[1]
+    assert top.n == len(sizes) == 16 and sizes.max() < 2 * len(x) / 16
+    assert set(forest.Top(x[:0], 1, rng).leaf(x)) == {0} and forest.Top(np.repeat(x[:1], 99, axis=0), 4, rng).n == 1
+
+
+def test_strings_are_sorted_with_their_shared_prefixes():
+    rng = np.random.default_rng(15)
+    unit = np.concatenate([rng.standard_normal((500, DIMS)), 1 + rng.standard_normal((300, DIMS)) * 1e-3])
+    order, shared, tight = forest._strings(unit, 20, np.random.default_rng(1))
+    assert sorted(order) == list(range(len(unit))) and shared[0] == -1 and (shared[1:] >= 0).all() and not tight
+    # the first 63 bits, worked out anew
+    bits = (unit - unit.mean(axis=0)) @ np.random.default_rng(1).standard_normal((DIMS, forest.BITS)) > 0
+    for i in range(1, len(unit)):
+        a, b = bits[order[i - 1]], bits[order[i]]
+        same = int((a != b).argmax()) if (a != b).any() else forest.BITS
+        assert min(int(shared[i]), forest.BITS) == same
 
 
 def test_candidates_closer_than_float32_resolves(spark):
@@ -162,7 +186,7 @@ def test_candidates_closer_than_float32_resolves(spark):
     dist = 0.01 + rng.integers(0, 12, 60) * 1e-9
     x = np.concatenate([np.c_[1 - dist, side * np.sqrt(1 - (1 - dist) ** 2)[:, None]], np.eye(1, DIMS)])
     points = vectors.unit_points(_table(spark, x), DIMS)
-    unit = np.array([r["unit"] for r in points.orderBy("id").collect()])
+    unit = np.array([np.frombuffer(r["unit"]) for r in points.orderBy("id").collect()])
     d = np.round(1 - unit[:60] @ unit[60], 9)
     want = np.lexsort((np.arange(60), d))[:10]
     got = {r["id"]: [n["id"] for n in r["near"]] for r in forest.nearest(points, DIMS, 10).collect()}
