@@ -132,11 +132,16 @@ def spectral(x: np.ndarray, cats: np.ndarray | None = None, *, n_clusters: int,
     return kmeans(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), n_clusters=n_clusters, seed=seed)
 
 
+def category_weight(x: np.ndarray) -> float:
+    return 0.5 * float(x.std(axis=0).mean())
+
+
 @register("kprototypes")
-def kprototypes(x: np.ndarray, cats: np.ndarray | None = None, *, n_clusters: int, gamma: float = 1.0, seed: int = 42, rounds: int = 100) -> np.ndarray:
-    """Means of the numbers and modes of the categories; differing categories cost ``gamma`` each."""
-    if cats is None:
+def kprototypes(x: np.ndarray, cats: np.ndarray | None = None, *, n_clusters: int, gamma: float | None = None, seed: int = 42, rounds: int = 100) -> np.ndarray:
+    """Means of the numbers and modes of the categories; differing categories cost ``gamma`` each, by default half the numbers' mean deviation."""
+    if cats is None or not cats.shape[1]:
         raise ValueError("k-prototypes needs categories")
+    gamma = category_weight(x) if gamma is None else gamma
     rng = np.random.default_rng(seed)
     k = min(max(n_clusters, 2), max(len(x) - 1, 1))
     at = rng.choice(len(x), k, replace=False)
@@ -290,35 +295,46 @@ def by_density(rest: DataFrame, fitted: DataFrame, best: DataFrame, grid: list[d
     return out
 
 
-def silhouette_mean(x: np.ndarray, label: np.ndarray, most: int = 5000, seed: int = 42) -> float:
-    """Mean silhouette of at most ``most`` rows that are not noise; -inf with fewer than two clusters."""
-    at = np.flatnonzero(label >= 0)
-    if len(at) > most:
-        at = np.sort(np.random.default_rng(seed).choice(at, most, replace=False))
-    x, label = x[at], label[at]
-    names, code, size = np.unique(label, return_inverse=True, return_counts=True)
-    if len(names) < 2 or len(names) >= len(at):
+def silhouette_mean(x: np.ndarray, label: np.ndarray, cats: np.ndarray | None = None) -> float:
+    """Mean silhouette of the rows that are not noise; -inf with fewer than two clusters.
+
+    Euclidean distances, or with ``cats`` the mixed ones: differences over the ranges plus 1 for each differing category, divided by the number of columns.
+    """
+    kept = np.flatnonzero(label >= 0)
+    names, code, size = np.unique(label[kept], return_inverse=True, return_counts=True)
+    if len(names) < 2 or len(names) >= len(kept):
         return -np.inf
-    sums = np.sqrt(_sq(x, x)) @ np.eye(len(names))[code]
-    own = np.take_along_axis(sums, code[:, None], 1)[:, 0]
-    a = own / np.maximum(size[code] - 1, 1)
-    mean = sums / size
-    mean[np.arange(len(x)), code] = np.inf
-    b = mean.min(1)
-    return float(np.where(size[code] == 1, 0, (b - a) / np.maximum(np.maximum(a, b), 1e-300)).mean())
+    x = x[kept]
+    if cats is not None:
+        cats, x = cats[kept], x / np.maximum(np.ptp(x, axis=0), 1e-8)
+    order = np.argsort(code, kind="stable")
+    starts = np.searchsorted(code[order], np.arange(len(names)))
+    total = 0.0
+    tile = max(1, geometry.TILE // (len(x) * (1 if cats is None else x.shape[1] + cats.shape[1])))
+    for lo in range(0, len(x), tile):
+        part = slice(lo, lo + tile)
+        d = np.sqrt(_sq(x[part], x)) if cats is None else geometry.mixed_distances(x[part], x, cats[part], cats, "range")
+        sums, mine = np.add.reduceat(d[:, order], starts, axis=1), code[part]
+        at = np.arange(len(mine)), mine
+        inner = sums[at] / np.maximum(size[mine] - 1, 1)
+        mean = sums / size
+        mean[at] = np.inf
+        outer = mean.min(axis=1)
+        total += float(np.where(size[mine] == 1, 0, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300)).sum())
+    return total / len(x)
 
 
 def clusters_band(n: int, target_size: int = 50, levels: int = 7, cap: int | None = None) -> list[int]:
-    """Cluster counts to try for ``n`` rows: doubling steps around n / target_size, held within 2 and the cap."""
-    middle = max(n / target_size, 1)
-    steps = [int(np.round(middle * 2.0**e)) for e in range(-(levels // 2), levels - levels // 2)]
-    top = min(cap or n, max(n - 1, 2))
-    return sorted({min(max(s, 2), top) for s in steps})
+    """Cluster counts to try for ``n`` rows: average sizes from ``target_size``, the finest, doubling upwards; counts are held within 2 and the cap."""
+    sizes = target_size * 2.0 ** np.arange(levels)
+    counts = np.maximum(np.rint(n / sizes), 2)
+    return np.unique(np.minimum(counts, cap or n)).astype(int).tolist()
 
 
-def size_floor(n: int, k: int, cap: int = 20) -> int:
-    """Least cluster size: half the average size, held within 5 and the cap."""
-    return min(cap, max(5, int(np.round(0.5 * n / max(k, 1)))))
+def size_floor(n: int, target_size: int = 50, cap: int = 20) -> int:
+    """Least cluster size: half the average size at the finest count of clusters_band, at least 5 and at most the cap."""
+    finest = max(clusters_band(n, target_size, levels=1))
+    return int(np.clip(np.rint(n / finest / 2), min(5, cap), cap))
 
 
 def combinations(params: dict) -> list[dict]:
@@ -336,29 +352,33 @@ def one_algorithm(config: dict) -> str:
     return named[0]
 
 
-def grid_search(points: DataFrame, algorithm: str, grid: list[dict], *, max_fit: int = 20_000, min_clusters: int = 2, weight: float = 0.5, seed: int = 42) -> DataFrame:
+def grid_search(points: DataFrame, algorithm: str, grid: list[dict], *, max_fit: int = 50_000, min_clusters: int | None = None, weight: float = 0.1, seed: int = 42) -> DataFrame:
     """class, combo, n_clusters, noise_share, score, ids, labels of the best combination per class.
 
-    score = silhouette - 3 * noise + weight * clusters / most clusters of the class; too few clusters or a failed fit score -inf; the
-    first of equal scores wins. Each (class, combination) is one group over the class's bounded fit sample.
+    score = silhouette - 3 * noise + weight * clusters / most clusters of the class. Combinations with ``min_clusters`` clusters come before all
+    others of the class, where there are any; the first of equal scores wins; a failed fit scores -inf. Each (class,
+    combination) is one group over the class's bounded fit sample. ``points``: id, class, x and, for k-prototypes, cats (array of int).
     """
     spark = points.sparkSession
-    sample = materialize(sample_per_group(points.select("id", "class", "x"), ["class"], max_fit, "id", seed))
+    mixed = "cats" in points.columns
+    if algorithm == "kprototypes" and not mixed:
+        raise ValueError("k-prototypes needs a column cats")
+    sample = materialize(sample_per_group(points.select("id", "class", "x", *["cats"] * mixed), ["class"], max_fit, "id", seed))
     combos = spark.range(len(grid)).select(F.col("id").cast("int").alias("combo"))
     fit = REGISTRY[algorithm]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         x = np.array(pdf["x"].tolist(), float)
+        cats = np.array(pdf["cats"].tolist(), np.int64).reshape(len(pdf), -1) if mixed else None
         try:
-            label = fit(x, **grid[int(pdf["combo"].iloc[0])])
-            sil = silhouette_mean(x, label)
-        except (ValueError, np.linalg.LinAlgError):
+            label = fit(x, cats, **grid[int(pdf["combo"].iloc[0])])
+            sil = silhouette_mean(x, label, cats)
+        except (np.linalg.LinAlgError, FloatingPointError):
             label, sil = np.full(len(x), -1), -np.inf
         k = len(set(label[label >= 0]))
         noise = float((label < 0).mean())
-        base = sil - 3 * noise if k >= min_clusters else -np.inf
-        return pd.DataFrame({"class": [pdf["class"].iloc[0]], "combo": [pdf["combo"].iloc[0]], "n_clusters": [k], "noise_share": [noise], "base": [base], "ids": [pdf["id"].to_numpy()], "labels": [label]})
+        return pd.DataFrame({"class": [pdf["class"].iloc[0]], "combo": [pdf["combo"].iloc[0]], "n_clusters": [k], "noise_share": [noise], "base": [sil - 3 * noise], "ids": [pdf["id"].to_numpy()], "labels": [label]})
 
     kind = dict(points.dtypes)["class"]
     # a few combinations times a bounded sample
@@ -368,16 +388,48 @@ def grid_search(points: DataFrame, algorithm: str, grid: list[dict], *, max_fit:
     tried = materialize(tried)
     by = Window.partitionBy("class")
     score = F.col("base") + weight * F.col("n_clusters") / F.greatest(F.max("n_clusters").over(by), F.lit(1))
-    ranked = tried.withColumn("score", score).withColumn("r", F.row_number().over(by.orderBy(F.desc("score"), "combo")))
+    order = by.orderBy(F.desc(F.col("n_clusters") >= (min_clusters or 0)), F.desc("score"), "combo")
+    ranked = tried.withColumn("score", score).withColumn("r", F.row_number().over(order))
     return ranked.filter("r = 1").drop("r", "base")
 
 
+def nearest_prototype(rest: DataFrame, members: DataFrame, gamma: float | None) -> DataFrame:
+    """id, class, cluster: the class's nearest prototype (means of x, modes of cats) of every row; -1 where the class has none.
+
+    ``members``: cluster, class, x, cats of the fit. Prototypes, at most one per cluster, are collected.
+    """
+    n_cats = F.posexplode("cats").alias("f", "v")
+    modes = members.select("cluster", n_cats).groupBy("cluster", "f").agg(F.mode("v", True).alias("v"))
+    modes = modes.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "v"))), lambda s: s["v"]).alias("mode"))
+    owner = members.groupBy("cluster").agg(F.first("class").alias("class"))
+    found = geometry.centroids(members, "cluster").join(modes, "cluster").join(owner, "cluster").orderBy("cluster").collect()
+    spread = members.select("class", F.posexplode("x").alias("f", "v")).groupBy("class", "f").agg(F.stddev_pop("v").alias("s"))
+    weight = {r["class"]: r["w"] for r in spread.groupBy("class").agg((F.avg("s") / 2).alias("w")).collect()}
+    sent = rest.sparkSession.sparkContext.broadcast([(r["class"], r["cluster"], np.array(r["centroid"]), np.array(r["mode"])) for r in found])
+
+    def place(it):
+        for pdf in it:
+            out = np.full(len(pdf), -1, np.int64)
+            for c in pdf["class"].unique():
+                own = [p for p in sent.value if p[0] == c]
+                row = np.flatnonzero(pdf["class"] == c)
+                if own:
+                    x, cats = np.array(pdf["x"].iloc[row].tolist(), float), np.array(pdf["cats"].iloc[row].tolist())
+                    cost = _sq(x, np.array([p[2] for p in own]))
+                    cost += (weight[c] if gamma is None else gamma) * (cats[:, None, :] != np.array([p[3] for p in own])[None]).sum(axis=2)
+                    out[row] = np.array([p[1] for p in own])[cost.argmin(axis=1)]
+            yield pd.DataFrame({"id": pdf["id"], "class": pdf["class"], "cluster": out})
+
+    return rest.select("id", "class", "x", "cats").mapInPandas(place, f"id bigint, class {dict(rest.dtypes)['class']}, cluster bigint")
+
+
 def cluster_per_class(points: DataFrame, algorithm: str, params: dict, *, floor: int = 1, max_fit: int = 20_000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """((id, cluster), centroids): unique ids over all classes, small clusters absorbed, noise in one pseudo-cluster per class after them.
+    """((id, cluster, is_noise), centroids): unique ids over all classes, small clusters absorbed, noise in one pseudo-cluster per class after them.
 
-    Rows outside the fit sample take the nearest centroid of their class; with hdbscan they are placed by density and may be noise.
+    Rows outside the fit sample take the nearest centroid of their class (k-prototypes: the nearest prototype); with hdbscan they are placed by density and may be noise.
     """
-    points, grid = points.select("id", "class", "x"), combinations(params)
+    mixed = "cats" in points.columns
+    points, grid = points.select("id", "class", "x", *["cats"] * mixed), combinations(params)
     best = materialize(grid_search(points, algorithm, grid, max_fit=max_fit, seed=seed))
     fitted = best.select("class", F.explode(F.arrays_zip("ids", "labels")).alias("z")).select("class", F.col("z.ids").alias("id"), F.col("z.labels").alias("local"))
     sizes = fitted.groupBy("class", "local").agg(F.count(F.lit(1)).alias("n"))
@@ -385,14 +437,18 @@ def cluster_per_class(points: DataFrame, algorithm: str, params: dict, *, floor:
     # one row per cluster: ids run on over classes
     named = materialize(real.withColumn("cluster", (F.row_number().over(Window.orderBy("class", "local")) - 1).cast("bigint")).select("class", "local", "cluster"))
     ids = fitted.join(F.broadcast(named), ["class", "local"], "left").select("id", "class", "cluster")
-    cents = geometry.centroids(points.join(ids.filter("cluster is not null").select("id", "cluster"), "id"), "cluster").join(named.select("cluster", "class"), "cluster")
-    cents = materialize(cents)
+    members = points.join(ids.filter("cluster is not null").select("id", "cluster"), "id")
+    cents = materialize(geometry.centroids(members, "cluster").join(named.select("cluster", "class"), "cluster"))
     rest = points.join(ids.select("id"), "id", "left_anti")
     if algorithm == "hdbscan":
         local = by_density(rest, points.join(ids.select("id"), "id", "left_semi"), best, grid)
         placed = local.join(F.broadcast(named), ["class", "local"], "left").select("id", "class", "cluster")
     else:
-        placed = geometry.nearest_centroid(rest, cents, "cluster", within_class=True).select("id", "class", F.expr("nullif(assigned, -1)").alias("cluster"))
+        if algorithm == "kprototypes":
+            near = nearest_prototype(rest, members, params.get("gamma"))
+        else:
+            near = geometry.nearest_centroid(rest, cents, "cluster", within_class=True).select("id", "class", F.col("assigned").alias("cluster"))
+        placed = near.select("id", "class", F.expr("nullif(cluster, -1)").alias("cluster"))
     every = ids.unionByName(placed)
     count = named.count()
     classes = every.filter("cluster is null").select("class").distinct()

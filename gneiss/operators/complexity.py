@@ -11,9 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.operators import geometry
+from gneiss.operators.boruvka import spanning_forest
+from gneiss.plans.scratch import materialize
+
 EPS = 1e-8
 
 
@@ -179,46 +184,27 @@ def centroid_gap(cents: DataFrame) -> DataFrame:
     return cents.select("cluster").join(gap, "cluster", "left")
 
 
-def silhouette(points: DataFrame, block_rows: int = 4096) -> DataFrame:
-    """id, cluster, s: exact silhouette by Euclidean distance; a single member scores 0, one cluster gives null.
+def silhouette(points: DataFrame, block_rows: int = 8192, *, metric: str = "euclidean") -> DataFrame:
+    """id, cluster, s: exact silhouette by Euclidean or cosine distance; a single member scores 0, one cluster gives null.
 
-    Each block of base points (bounded) is sent once and yields distance sums per point and cluster; sums add up over blocks.
+    Every pair of blocks yields distance sums per point and cluster; sums add up over blocks.
     """
-    spark = points.sparkSession
     sizes = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    parts, block = [], []
-
-    def met(rows: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast((np.array([r["x"] for r in rows], float), np.array([r["cluster"] for r in rows])))
-
-        def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            base, cluster = sent.value
-            names, code = np.unique(cluster, return_inverse=True)
-            pick = np.eye(len(names))[code]
-            sq = (base**2).sum(axis=1)
-            for whole in it:
-                for lo in range(0, len(whole), 512):
-                    pdf = whole.iloc[lo : lo + 512]
-                    q = np.array(pdf["x"].tolist(), float)
-                    d = np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + sq - 2 * (q @ base.T), 0))
-                    total = d @ pick
-                    n = len(names)
-                    yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), n), "other": np.tile(names, len(pdf)), "total": total.ravel()})
-
-        return points.select("id", "x").mapInPandas(batches, "id bigint, other bigint, total double")
-
-    for r in points.select("cluster", "x").toLocalIterator():
-        block.append(r)
-        if len(block) == block_rows:
-            parts.append(met(block))
-            block = []
-    if block:
-        parts.append(met(block))
-    if not parts:
-        return spark.createDataFrame([], "id bigint, cluster bigint, s double")
-    sums = parts[0]
-    for p in parts[1:]:
-        sums = sums.unionByName(p)
+
+    def totals(q: pa.Table, b: pa.Table) -> pa.Table:
+        ids, names = q.column("id").to_numpy(), np.zeros(0, np.int64)
+        out = np.zeros((len(ids), 0))
+        if len(ids) and b.num_rows:
+            names, code = np.unique(b.column("cluster").to_numpy(), return_inverse=True)
+            x, base = geometry.rows_matrix(q, "x"), geometry.rows_matrix(b, "x")
+            order = np.argsort(code, kind="stable")
+            starts = np.searchsorted(code[order], np.arange(len(names)))
+            tiles = [np.add.reduceat(geometry.distances(x[lo : lo + 512], base, metric)[:, order], starts, axis=1) for lo in range(0, len(x), 512)]
+            out = np.concatenate(tiles)
+        return pa.table({"id": np.repeat(ids, len(names)), "other": np.tile(names, len(ids)), "total": out.ravel()})
+
+    rows = materialize(points.select("id", F.col("cluster").cast("bigint").alias("cluster"), "x"))
+    sums = geometry.block_pairs(rows, rows, totals, "id bigint, other bigint, total double", rows=block_rows)
     sums = sums.groupBy("id", "other").agg(F.sum("total").alias("total")).join(F.broadcast(sizes.withColumnRenamed("cluster", "other")), "other")
     own = points.select("id", "cluster")
     per = own.join(sums, "id")
@@ -245,45 +231,23 @@ def min_mean_max(pairs: DataFrame, clusters: DataFrame, measures: list[str]) ->
     return clusters.select("cluster").join(pairs.groupBy(F.col("c").alias("cluster")).agg(*agg), "cluster", "left")
 
 
-def spanning_tree(edges: DataFrame, members: DataFrame, points: DataFrame, max_edges: int = 5_000_000) -> DataFrame:
+def spanning_tree(edges: DataFrame, points: DataFrame, *, metric: str = "cosine", n_cats: int = 0) -> DataFrame:
     """u, v, w: minimum spanning tree of the symmetrised k-NN graph, zero-length links left out, its parts joined to the first.
 
-    The k-NN graph is bounded by the pipeline's sample cap; more than ``max_edges`` edges raise rather than overrun the one task.
+    The forest comes from Boruvka rounds. The smallest id's part is the first; from that id a link goes to the nearest point
+    of every other part under the graph's own mixed distance, of at least 1e-10, ties to the smaller id. ``points``: id, x [, cats].
     """
-    two = edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), "dist").groupBy("u", "v").agg(F.min("dist").alias("w"))
-    two = two.filter("w > 0")
-    n = two.count()
-    if n > max_edges:
-        raise ValueError(f"{n} edges; sample the points first")
-    rows = members.select("id").join(points.select("id", "x"), "id")
-    left = two.withColumn("g", F.lit(0))
-    right = rows.withColumn("g", F.lit(0))
-
-    def solve(e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("id")
-        parent = {i: i for i in p["id"]}
-
-        def top(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        out = []
-        for u, v, w in e.sort_values(["w", "u", "v"])[["u", "v", "w"]].itertuples(index=False):
-            a, b = top(u), top(v)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((u, v, w))
-        groups: dict = {}
-        for i, x in zip(p["id"], p["x"]):
-            groups.setdefault(top(i), []).append((i, x))
-        parts = [groups[g] for g in sorted(groups)]
-        if parts:
-            hub = parts[0][0]
-            for part in parts[1:]:
-                gap = np.sqrt(((np.array([x for _, x in part]) - np.array(hub[1])) ** 2).sum(axis=1))
-                out.append((hub[0], part[int(gap.argmin())][0], float(gap.min())))
-        return pd.DataFrame(out, columns=["u", "v", "w"])
-
-    return left.groupBy("g").cogroup(right.groupBy("g")).applyInPandas(solve, "u bigint, v bigint, w double")
+    links = edges.filter("dist > 0").select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("dist").alias("w"))
+    forest, parts = spanning_forest(links)
+    rows = scaled = geometry.scaled_points(points.select("id", "x", *["cats"] * bool(n_cats)), metric)
+    rows = rows.join(parts, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    hub = F.broadcast(scaled.orderBy("id").limit(1).select(F.col("id").alias("u"), F.col("x").alias("_x"), *[F.col("cats").alias("_cats")] * bool(n_cats)))  # one row
+    d = F.aggregate(F.zip_with("x", "_x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) / 2
+    d = F.least(d, F.lit(1.0)) * F.size("x") if metric == "cosine" else F.aggregate(F.zip_with("x", "_x", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v)
+    if n_cats:
+        d = d + F.aggregate(F.zip_with("cats", "_cats", lambda a, b: (a != b).cast("double")), F.lit(0.0), lambda s, v: s + v)
+    gap = F.greatest(d / (F.size("x") + n_cats), F.lit(1e-10))
+    first = rows.join(hub, F.col("id") == F.col("u"), "left_semi").select(F.col("comp").alias("_first"))
+    others = rows.join(F.broadcast(first), F.col("comp") == F.col("_first"), "left_anti")
+    near = others.join(hub).groupBy("u", "comp").agg(F.min(F.struct(gap.alias("w"), F.col("id").alias("v"))).alias("e"))
+    return forest.unionByName(near.select("u", "e.v", "e.w"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.clean import quoted
+from gneiss.plans.scratch import materialize
 
 
 def order_key(key: str, seed: int = 42) -> Column:
@@ -65,25 +66,29 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 42
     return _ranked(df, [label], key, seed).withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank")
 
 
-def allocate(counts: dict, budget: int, floor: int) -> dict:
-    """Rows to take of each cluster: its share of the budget (at least ``floor``, at most all), trimmed from the largest until it fits."""
-    total = sum(counts.values())
-    take = {c: min(n, max(floor, round(budget * n / total))) for c, n in counts.items()}
-    over = sum(take.values()) - budget
-    for c in sorted(take, key=lambda c: (-take[c], c)):
-        cut = min(max(0, take[c] - max(floor, 1)), max(over, 0))
-        take[c] -= cut
-        over -= cut
-    return take
+def cluster_quotas(sizes: DataFrame, budget: int, floor: int) -> DataFrame:
+    """_c, _take from (_c, _n), one row per cluster: its rounded share of the budget, at least ``floor`` and at most all.
+
+    What the quotas exceed the budget by comes off the largest first, each down to the floor: with the clusters in falling order, a
+    cluster gives what the running sum of spare rows before it has left over.
+    """
+    total = sizes.agg(F.sum("_n").alias("_total"))
+    share = F.rint(F.lit(budget) * F.col("_n") / F.col("_total"))
+    asked = sizes.join(F.broadcast(total)).withColumn("_want", F.least("_n", F.greatest(F.lit(floor), share)).cast("bigint"))
+    asked = asked.withColumn("_spare", F.greatest(F.col("_want") - max(floor, 1), F.lit(0)))
+    by_size = Window.orderBy(F.desc("_want"), "_c")  # one row per cluster
+    owed = F.sum("_want").over(Window.partitionBy()) - budget
+    before = F.sum("_spare").over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    given = F.least("_spare", F.greatest(owed - F.coalesce(before, F.lit(0)), F.lit(0)))
+    return asked.select("_c", (F.col("_want") - given).alias("_take"))
 
 
 def cluster_subsample(df: DataFrame, cluster: str, key: str, budget: int, floor: int = 50, seed: int = 42) -> DataFrame:
-    """A subsample stratified by cluster; one count per cluster reaches the driver."""
-    counts = {r[0]: r[1] for r in df.groupBy(quoted(cluster)).count().collect()}
-    if sum(counts.values()) <= budget:
+    """A subsample stratified by cluster; all rows where they fit the budget. Null clusters take no part beyond the budget."""
+    sizes = materialize(df.groupBy(quoted(cluster).alias("_c")).agg(F.count(F.lit(1)).alias("_n")))
+    if (sizes.agg(F.sum("_n")).first()[0] or 0) <= budget:
         return df
-    spark = df.sparkSession
-    take = spark.createDataFrame(list(allocate(counts, budget, floor).items()), f"_c {dict(df.dtypes)[cluster]}, _take bigint")
+    take = cluster_quotas(sizes, budget, floor)
     ranked = _ranked(df, [cluster], key, seed).join(F.broadcast(take), quoted(cluster) == F.col("_c"))
     return ranked.filter(F.col("_rank") <= F.col("_take")).drop("_rank", "_c", "_take")
 

@@ -10,8 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Feature families by prefix; fixed values.
-FAMILIES = [("feature", ("f1", "f2", "f3", "f4")), ("neighborhood", ("n1", "n2", "n3", "n4")), ("network", ("network_density", "cls_coef", "hub")),
-            ("dimensionality", ("t2", "t3", "t4")), ("geometry", ("max_dispersion", "p95_dispersion", "dist_to_nearest_centroid", "p5_silhouette", "frac_at_risk"))]
+FAMILIES = [
+    ("feature-overlap", ("f1", "f2", "f3", "f4")),
+    ("neighbourhood", ("n1", "n2", "n3", "n4")),
+    ("network", ("network_density", "cls_coef", "hub")),
+    ("cluster-geometry", ("max_dispersion", "p95_dispersion", "dist_to_nearest_centroid", "p5_silhouette", "frac_at_risk")),
+    ("dimensionality", ("t2", "t3", "t4")),
+]
 #: Classifiers whose results are shown together; fixed values.
 MERGED = {"numerical": "mlp", "tabular": "mlp"}
 

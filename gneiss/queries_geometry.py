@@ -119,7 +119,7 @@ def pca_t3_t4(spark, d):
 
 def mst_n1(spark, d):
     members = _members(spark, d)
-    tree = complexity.spanning_tree(_edges(spark, d), members, emb(spark, d))
+    tree = complexity.spanning_tree(_edges(spark, d), emb(spark, d))
     return rounded(complexity.borderline(tree, members, _pairs(spark, d)))
 
 
@@ -148,7 +148,7 @@ def complexity_table(spark: SparkSession, d: str, level: str = "cluster") -> Dat
     cents = materialize(geometry.centroids(points, "cluster").join(classes, "cluster"))
     pairs = materialize(geometry.adversaries(cents, TOP))
     stats = materialize(complexity.feature_stats(points))
-    tree = complexity.spanning_tree(edges, members, points)
+    tree = complexity.spanning_tree(edges, points)
     both = (
         complexity.fisher_and_volume(pairs, stats)
         .join(complexity.overlap_shares(points, pairs, stats), ["c", "j"], "full")

@@ -41,6 +41,13 @@ def spectral_labels(spark, d):
     return _clusters(spark, d, "spectral", {"n_clusters": [2, 3], "n_neighbors": 10})
 
 
+def kprototypes_labels(spark, d):
+    e = emb(spark, d)
+    cats = F.array((F.col("id") % 2).cast("int"), (F.col("id") % 3).cast("int"))
+    labels, _ = clustering.cluster_per_class(e.withColumn("cats", cats), "kprototypes", {"n_clusters": [2, 4]})
+    return labels.select("id", "cluster", "is_noise")
+
+
 def hdbscan_labels(spark, d):
     return _clusters(spark, d, "hdbscan", {"min_cluster_size": [3, 5], "min_samples": [1, 3]})
 
@@ -116,7 +123,7 @@ def block_bootstrap(spark, d):
     return rounded(resample.adaptive_block_bootstrap(spark, scores, rate, blocks, reference="score", n=400, batch=200))
 
 
-_NAMES = """synth_counts synth_cleaned kmeans_labels gmm_labels birch_labels spectral_labels hdbscan_labels tree_predictions forest_out_of_fold
+_NAMES = """synth_counts synth_cleaned kmeans_labels gmm_labels birch_labels spectral_labels kprototypes_labels hdbscan_labels tree_predictions forest_out_of_fold
 logistic_predictions naive_bayes_predictions lda_predictions knn_predictions mlp_predictions boosted_predictions failure_regression
 attributions bootstrap_ci block_bootstrap""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

@@ -119,8 +119,8 @@ ORACLE = {
         {r6("avg(rho)")} AS mean, count(rho) AS n FROM r GROUP BY GROUPING SETS ((classifier), (dataset))""",
     "lift_table": f"""WITH {_R} SELECT classifier, {r6("avg(lift)")} AS mean_lift, {r6("median(lift)")} AS median_lift, {r6("avg(CAST(low > 0 AS DOUBLE))")} AS better,
         {r6("avg(CAST(high < 0 AS DOUBLE))")} AS worse, count(lift) AS n, {r6("avg(CAST(low > 0 AS DOUBLE)) - avg(CAST(high < 0 AS DOUBLE))")} AS net FROM r GROUP BY classifier""",
-    "family_importance": f"""WITH {_I}, f AS (SELECT CASE name WHEN 'cluster_f1_mean' THEN 'feature' WHEN 'class_f3_min' THEN 'feature' WHEN 'cluster_n2_max' THEN 'neighborhood'
-          WHEN 'cluster_network_density_mean' THEN 'network' WHEN 'class_t3' THEN 'dimensionality' WHEN 'cluster_p95_dispersion' THEN 'geometry' ELSE 'other' END AS family,
+    "family_importance": f"""WITH {_I}, f AS (SELECT CASE name WHEN 'cluster_f1_mean' THEN 'feature-overlap' WHEN 'class_f3_min' THEN 'feature-overlap' WHEN 'cluster_n2_max' THEN 'neighbourhood'
+          WHEN 'cluster_network_density_mean' THEN 'network' WHEN 'class_t3' THEN 'dimensionality' WHEN 'cluster_p95_dispersion' THEN 'cluster-geometry' ELSE 'other' END AS family,
           CASE WHEN name LIKE 'class\\_%' ESCAPE '\\' THEN 'class' ELSE 'cluster' END AS level, value FROM i)
         SELECT family, level, {r6("100 * sum(value) / (SELECT sum(value) FROM i)")} AS percent FROM f GROUP BY family, level""",
     "mean_importance": f"WITH {_I} SELECT name, {r6('avg(abs(value))')} AS mean_abs FROM i GROUP BY name ORDER BY avg(abs(value)) DESC, name LIMIT 3",

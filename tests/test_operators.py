@@ -70,7 +70,19 @@ def test_splits_are_exact_and_repeatable(spark):
         split.stratified_split(df, "y", "id", 0.5, 0.1, 0.1)
     with pytest.raises(ValueError):
         split.stratified_folds(spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "id int, y string"), "y", "id", 5)
-    assert sum(split.allocate({1: 900, 2: 90, 3: 10}, 100, 5).values()) == 100
+
+
+def test_cluster_quotas(spark):
+    def quotas(sizes, budget, floor):
+        df = spark.createDataFrame(list(sizes.items()), "_c int, _n bigint")
+        return {r["_c"]: r["_take"] for r in split.cluster_quotas(df, budget, floor).collect()}
+
+    assert quotas({1: 900, 2: 90, 3: 10}, 100, 5) == {1: 86, 2: 9, 3: 5}
+    # many small clusters: the largest gives all it can, the next the rest
+    assert quotas({1: 60, 2: 30, 3: 3, 4: 3, 5: 3, 6: 1}, 30, 3) == {1: 11, 2: 9, 3: 3, 4: 3, 5: 3, 6: 1}
+    assert quotas({1: 50, 2: 50}, 4, 10) == {1: 10, 2: 10}
+    rows = spark.range(1000).select("id", (F.col("id") % 10 % 4).alias("c"))
+    assert split.cluster_subsample(rows, "c", "id", 100, 5).count() == 100 and split.cluster_subsample(rows, "c", "id", 1000).count() == 1000
 
 
 def test_profiles_of_empty_tables(spark):
@@ -127,10 +139,17 @@ def test_pca_and_spanning_tree(spark):
     single = spark.createDataFrame([(1, 5, [1.0, 2.0])], "id bigint, cluster bigint, x array<double>")
     assert complexity.pca_ratios(single).first()["t3"] is None
     edges = geometry.knn_graph(df, 3)
-    tree = complexity.spanning_tree(edges, df.select("id", "cluster"), df)
-    assert tree.count() == 89
-    with pytest.raises(ValueError):
-        complexity.spanning_tree(edges, df.select("id", "cluster"), df, max_edges=3)
+    tree = complexity.spanning_tree(edges, df).collect()
+    assert len(tree) == 89
+    # the links between parts come from the first part's smallest id, by the graph's distance
+    _, parts = complexity.spanning_forest(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("dist").alias("w")))
+    comp = {r["id"]: r["comp"] for r in parts.collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    gaps = np.minimum(((unit - unit[0]) ** 2).sum(axis=1) / 2, 1)
+    for r in tree:
+        if comp[r["u"]] != comp[r["v"]]:
+            part = [i for i in range(90) if comp[i] == comp[r["v"]]]
+            assert r["u"] == 0 and abs(r["w"] - max(min(gaps[part]), 1e-10)) < 1e-9
 
 
 def test_silhouette_blocks(spark):
@@ -240,3 +259,35 @@ def test_hdbscan_rows_outside_the_fit_can_be_noise(spark):
     assert len(rows) == 360
     assert np.mean([rows[i]["is_noise"] for i in range(300)]) < 0.2 and np.mean([rows[i]["is_noise"] for i in range(300, 360)]) > 0.8
     assert len({rows[i]["cluster"] for i in range(300) if not rows[i]["is_noise"]}) == 2
+
+
+def test_cluster_bands_and_floors():
+    # 10,000 rows: average sizes 50, 100, ... 3200
+    assert clustering.clusters_band(10_000) == [3, 6, 12, 25, 50, 100, 200]
+    assert clustering.clusters_band(10_000, cap=60) == [3, 6, 12, 25, 50, 60] and clustering.clusters_band(30) == [2]
+    assert [clustering.size_floor(n) for n in (10_000, 30, 12)] == [20, 8, 5] and clustering.size_floor(10_000, 20) == 10
+
+
+def test_kprototypes_over_classes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 2, [float(v) for v in rng.standard_normal(3) * 0.1 + (i // 2 % 2) * 3 * (i % 2)], [i // 2 % 2, 7]) for i in range(240)]
+    df = spark.createDataFrame(rows, "id bigint, class int, x array<double>, cats array<int>")
+    with pytest.raises(ValueError):
+        clustering.grid_search(df.drop("cats"), "kprototypes", [{"n_clusters": 2}])
+    for most in (1000, 50):
+        labels, _ = clustering.cluster_per_class(df, "kprototypes", {"n_clusters": [2, 3], "gamma": 5.0}, max_fit=most)
+        got = {r["id"]: (r["cluster"], r["is_noise"]) for r in labels.collect()}
+        assert len(got) == 240 and not any(noise for _, noise in got.values())
+        # no cluster mixes classes or categories
+        kinds = {}
+        for i, (c, _) in got.items():
+            kinds.setdefault(c, set()).add((i % 2, i // 2 % 2))
+        assert all(len(k) == 1 for k in kinds.values())
+
+
+def test_too_few_clusters_fall_back_to_the_whole_sweep(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, 0, [float(v) for v in rng.standard_normal(2) + 9 * (i % 2)]) for i in range(60)], "id bigint, class int, x array<double>")
+    combos = [{"n_clusters": 2}, {"n_clusters": 4}]
+    assert clustering.grid_search(df, "kmeans", combos, min_clusters=50).first()["n_clusters"] == 2
+    assert clustering.grid_search(df, "kmeans", combos, min_clusters=4).first()["n_clusters"] == 4
