@@ -35,7 +35,7 @@ TREES = 4
 LOCAL = 4
 WANT = 300
 LEAF = 32_768
-SAMPLE = 65_536
+SAMPLE = 32_768
 BITS = 63
 #: Strings before and after a run that are candidates too.
 BESIDE = 32
@@ -175,8 +175,8 @@ def search(unit: np.ndarray, k: int, max_dist: float, *, local: int = LOCAL, wan
 def _routed(classes: DataFrame, dims: int, trees: int, leaf: int, seed: int) -> tuple[DataFrame, int]:
     """leaf, id, unit, members: every vector once per tree, and the number of leaves of all trees."""
     n = classes.count()
-    rows = classes.select("unit").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect() if n > leaf else []  # bounded by SAMPLE
-    sample = np.array([np.frombuffer(r[0]) for r in rows]).reshape(-1, dims)
+    drawn = classes.select("unit").orderBy(F.xxhash64("id"), "id").limit(SAMPLE if n > leaf else 0)
+    sample = matrix(drawn.toArrow().column("unit"), dims)
     tops = [Top(sample, n / leaf, np.random.default_rng((seed, t))) for t in range(trees)]
     sent = classes.sparkSession.sparkContext.broadcast(tops)
 

@@ -17,8 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.density import BLOCK, graph, spanning_forest
+from gneiss.llm.density import BLOCK, graph
 from gneiss.llm.vectors import direction
+from gneiss.operators.boruvka import spanning_forest
 from gneiss.plans.scratch import materialize
 
 #: Distances are rounded to 9 decimals; what is at distance 0 counts as this near.
