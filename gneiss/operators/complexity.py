@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.operators import geometry
@@ -168,22 +168,34 @@ def pca_ratios(points: DataFrame, share: float = 0.95) -> DataFrame:
     return partial.groupBy("cluster").applyInPandas(merged, f"cluster {kind}, t3 double, t4 double")
 
 
-def dispersion(points: DataFrame, cents: DataFrame) -> DataFrame:
-    """cluster, max_dispersion, p95_dispersion: Euclidean distances to the own centroid."""
-    d = F.sqrt(F.aggregate(F.zip_with("x", "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    joined = points.select("cluster", "x").join(F.broadcast(cents.select("cluster", "centroid")), "cluster").select("cluster", d.alias("d"))
+def _distance(a: str, b: str, metric: str) -> Column:
+    if metric == "cosine":
+        dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+        length = [F.sqrt(F.aggregate(F.col(c), F.lit(0.0), lambda s, v: s + v * v)) for c in (a, b)]
+        return 1 - F.coalesce(F.try_divide(dot, length[0] * length[1]), F.lit(0.0))
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+
+
+def dispersion(points: DataFrame, cents: DataFrame, *, metric: str = "euclidean") -> DataFrame:
+    """cluster, max_dispersion, p95_dispersion: distances to the own centroid."""
+    joined = points.select("cluster", "x").join(F.broadcast(cents.select("cluster", "centroid")), "cluster").select("cluster", _distance("x", "centroid", metric).alias("d"))
     return joined.groupBy("cluster").agg(F.max("d").alias("max_dispersion"), F.percentile("d", 0.95).alias("p95_dispersion"))
 
 
-def centroid_gap(cents: DataFrame) -> DataFrame:
+def centroid_gap(cents: DataFrame, *, metric: str = "euclidean") -> DataFrame:
     """cluster, dist_to_nearest_centroid: of any class; null with a single cluster."""
     a = cents.select("cluster", F.col("centroid").alias("a"))
     b = F.broadcast(cents.select(F.col("cluster").alias("k2"), F.col("centroid").alias("b")))
-    d = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-    gap = a.join(b, F.col("cluster") != F.col("k2")).groupBy("cluster").agg(F.min(d).alias("dist_to_nearest_centroid"))
+    gap = a.join(b, F.col("cluster") != F.col("k2")).groupBy("cluster").agg(F.min(_distance("a", "b", metric)).alias("dist_to_nearest_centroid"))
     return cents.select("cluster").join(gap, "cluster", "left")
 
 
+def with_noise_rows(measures: DataFrame, noise: DataFrame) -> DataFrame:
+    """``measures`` with is_noise_cluster false, and one row per cluster of ``noise`` that has only the flag."""
+    own = measures.withColumn("is_noise_cluster", F.lit(False))
+    return own.unionByName(noise.select("cluster").distinct().withColumn("is_noise_cluster", F.lit(True)), allowMissingColumns=True)
+
+
 def silhouette(points: DataFrame, block_rows: int = 8192, *, metric: str = "euclidean") -> DataFrame:
     """id, cluster, s: exact silhouette by Euclidean or cosine distance; a single member scores 0, one cluster gives null.
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+import pyarrow as pa
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -20,19 +22,70 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.operators import split
+from gneiss.operators import geometry, split
 from gneiss.plans.scratch import materialize
 
-#: Estimator makers by name; parameters are those of the configuration.
+def _own(given: dict, **known):
+    """The parameters of a configuration over their defaults; a name that is not known raises."""
+    if unknown := given.keys() - known.keys() - IGNORED:
+        raise ValueError(f"unknown parameters: {sorted(unknown)}")
+    return SimpleNamespace(**(known | {k: v for k, v in given.items() if k in known}))
+
+
+#: Parameters without a counterpart: they change where or how fast a model is fitted, not which.
+IGNORED = {"n_jobs", "eval_metric", "solver", "verbose", "probability"}
+#: The deepest tree that pyspark.ml grows; a depth of None means this.
+DEEPEST = 30
+
+
+def _decision_tree(n: int, **given):
+    p = _own(given, max_depth=None, min_samples_leaf=1, seed=42)
+    return C.DecisionTreeClassifier(maxDepth=p.max_depth or DEEPEST, minInstancesPerNode=p.min_samples_leaf, seed=p.seed)
+
+
+def _random_forest(n: int, **given):
+    p = _own(given, n_estimators=200, max_depth=None, min_samples_leaf=1, seed=42)
+    return C.RandomForestClassifier(numTrees=p.n_estimators, maxDepth=p.max_depth or DEEPEST, minInstancesPerNode=p.min_samples_leaf, seed=p.seed)
+
+
+def _boosted(n: int, **given):
+    """One boosted forest per class; both histogram boosters of the configuration map to it."""
+    p = _own(given, max_iter=200, n_estimators=None, learning_rate=0.1, max_depth=None, seed=42)
+    return C.OneVsRest(classifier=C.GBTClassifier(maxIter=p.n_estimators or p.max_iter, stepSize=p.learning_rate, maxDepth=p.max_depth or 6, seed=p.seed), parallelism=8)
+
+
+def _logistic(n: int, **given):
+    """C weighs the summed loss against half the squared weights, so the penalty on the mean loss is 1 / (C n)."""
+    p = _own(given, C=1.0, max_iter=1000)
+    return C.LogisticRegression(maxIter=p.max_iter, regParam=1.0 / (p.C * n), standardization=False, family="multinomial")
+
+
+def _linear_svc(n: int, **given):
+    p = _own(given, C=1.0, max_iter=2000)
+    return C.OneVsRest(classifier=C.LinearSVC(maxIter=p.max_iter, regParam=1.0 / (p.C * n), standardization=False), parallelism=8)
+
+
+def _naive_bayes(n: int, **given):
+    if _own(given, var_smoothing=1e-9).var_smoothing != 1e-9:
+        raise ValueError("var_smoothing is fixed at 1e-9")
+    return C.NaiveBayes(modelType="gaussian")
+
+
+def _mlp(n: int, **given):
+    p = _own(given, layers=(64, 32, 10), max_iter=100, seed=42)
+    return C.MultilayerPerceptronClassifier(layers=list(p.layers), maxIter=p.max_iter, seed=p.seed)
+
+
+#: Estimator makers by name: the number of train rows and a configuration's parameters.
 REGISTRY: dict[str, Callable] = {
-    "decision_tree": lambda max_depth=20, min_samples_leaf=1, **k: C.DecisionTreeClassifier(maxDepth=min(max_depth or 30, 30), minInstancesPerNode=min_samples_leaf),
-    "random_forest": lambda n_estimators=200, max_depth=None, min_samples_leaf=1, seed=42, **k: C.RandomForestClassifier(numTrees=n_estimators, maxDepth=min(max_depth or 12, 30), minInstancesPerNode=min_samples_leaf, seed=seed),
-    "hist_gradient_boosting": lambda max_iter=20, learning_rate=0.1, max_depth=5, seed=42, **k: C.OneVsRest(classifier=C.GBTClassifier(maxIter=max_iter, stepSize=learning_rate, maxDepth=max_depth or 5, seed=seed)),
-    "xgboost": lambda n_estimators=20, learning_rate=0.1, max_depth=6, seed=42, **k: C.OneVsRest(classifier=C.GBTClassifier(maxIter=n_estimators, stepSize=learning_rate, maxDepth=max_depth, seed=seed)),
-    "logistic_regression": lambda C_=1.0, max_iter=1000, n=1000, **k: C.LogisticRegression(maxIter=max_iter, regParam=1.0 / (C_ * n), family="multinomial"),
-    "naive_bayes": lambda **k: C.NaiveBayes(modelType="gaussian"),
-    "linear_svc": lambda C_=1.0, max_iter=100, n=1000, **k: C.OneVsRest(classifier=C.LinearSVC(maxIter=max_iter, regParam=1.0 / (C_ * n))),
-    "mlp": lambda layers=(64, 32, 10), max_iter=100, seed=42, **k: C.MultilayerPerceptronClassifier(layers=list(layers), maxIter=max_iter, seed=seed),
+    "decision_tree": _decision_tree,
+    "random_forest": _random_forest,
+    "hist_gradient_boosting": _boosted,
+    "xgboost": _boosted,
+    "logistic_regression": _logistic,
+    "naive_bayes": _naive_bayes,
+    "linear_svc": _linear_svc,
+    "mlp": _mlp,
 }
 
 
@@ -50,11 +103,83 @@ def _proba(df: DataFrame) -> DataFrame:
     return df.withColumn("proba", F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, x: s + x)))
 
 
+def fit(name: str, params: dict, train: DataFrame) -> PipelineModel:
+    """The named model on ``train``: id, label (0..k-1), x."""
+    return Pipeline(stages=[REGISTRY[name](train.count(), **params)]).fit(features(train))
+
+
+def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """id, y, p, proba."""
+    out = _proba(model.transform(features(rows)))
+    return out.select("id", F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("p"), "proba")
+
+
 def fit_predict(name: str, params: dict, train: DataFrame, test: DataFrame) -> DataFrame:
     """id, y, p, proba of the test rows."""
-    model = Pipeline(stages=[REGISTRY[name](**params)]).fit(features(train))
-    out = _proba(model.transform(features(test)))
-    return out.select("id", F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("p"), "proba")
+    return predict(fit(name, params, train), test)
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """Write a fitted model to a folder that all executors share; an earlier one there is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def calibrated_predict(name: str, params: dict, train: DataFrame, test: DataFrame, *, k: int = 3, seed: int = 42) -> DataFrame:
+    """id, y, p, proba by a one-vs-rest model whose scores are turned into probabilities.
+
+    Per class a logistic curve is fitted from the out-of-fold scores of the train rows to whether a row is of the class; the curves'
+    values on the test rows are divided by their sum, and the largest wins, ties to the smaller class. Classes are 0..n-1.
+    """
+    folds = materialize(split.stratified_folds(train, "label", "id", k, seed))
+    scores = None
+    for f in sorted(r[0] for r in folds.select("fold").distinct().collect()):
+        part = fit(name, params, folds.filter(F.col("fold") != f)).transform(features(folds.filter(F.col("fold") == f)))
+        part = part.select("label", vector_to_array("rawPrediction").alias("raw"))
+        scores = part if scores is None else scores.unionByName(part)
+    scores = materialize(scores)
+    held = fit(name, params, train).transform(features(test)).select("id", F.col("label").cast("int").alias("y"), vector_to_array("rawPrediction").alias("raw"))
+    # all classes' curves in one fit: a slope and an offset each
+    n = scores.agg(F.max(F.size("raw"))).first()[0]
+    place = F.sequence(F.lit(0), F.lit(n - 1))
+    long = scores.select("label", F.posexplode("raw").alias("c", "score")).select(
+        (F.col("label") == F.col("c")).cast("double").alias("label"),
+        array_to_vector(F.concat(*[F.transform(place, lambda i, v=v: F.when(i == F.col("c"), v).otherwise(0.0)) for v in (F.col("score"), F.lit(1.0))])).alias("features"),
+    )
+    line = C.LogisticRegression(family="binomial", maxIter=100, fitIntercept=False, standardization=False).fit(long).coefficients.toArray().tolist()
+    curves = [1 / (1 + F.exp(-(F.lit(line[c]) * F.get("raw", F.lit(c)) + line[n + c]))) for c in range(n)]
+    out = held.select("id", "y", F.array(*curves).alias("raw"))
+    total = F.greatest(F.aggregate("raw", F.lit(0.0), lambda s, v: s + v), F.lit(1e-300))
+    out = out.select("id", "y", F.transform("raw", lambda v: v / total).alias("proba"))
+    return out.select("id", "y", (F.array_position("proba", F.array_max("proba")) - 1).cast("int").alias("p"), "proba")
+
+
+def kernel_features(rows: DataFrame, train: DataFrame, *, gamma: float | str = "scale", n: int = 512, seed: int = 42) -> DataFrame:
+    """``x`` replaced by ``n`` random Fourier features, whose dot products approach the radial kernel exp(-gamma |a - b|^2).
+
+    gamma "scale" is 1 / (columns * variance of all train values). The error falls with the square root of ``n``.
+    """
+    d = len(train.select("x").first()[0])
+    if gamma == "scale":
+        gamma = 1 / (d * (train.select(F.explode("x").alias("v")).agg(F.var_pop("v")).first()[0] or 1.0))
+
+    def mapped(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng = np.random.default_rng(seed)
+        w, b = rng.standard_normal((d, n)) * np.sqrt(2 * gamma), rng.uniform(0, 2 * np.pi, n)
+        for pdf in it:
+            x = np.array(pdf["x"].tolist(), float).reshape(len(pdf), -1)
+            yield pdf.assign(x=list(np.cos(x @ w + b) * np.sqrt(2 / n)))
+
+    return rows.select("id", "label", "x").mapInPandas(mapped, "id bigint, label int, x array<double>")
+
+
+def svm_rbf_predict(train: DataFrame, test: DataFrame, *, C: float = 1.0, gamma: float | str = "scale", n: int = 512, max_iter: int = 100) -> DataFrame:
+    """id, y, p, proba of a calibrated support vector machine with a radial kernel, by random Fourier features."""
+    sides = [materialize(kernel_features(df, train, gamma=gamma, n=n)) for df in (train, test)]
+    return calibrated_predict("linear_svc", {"C": C, "max_iter": max_iter}, *sides)
 
 
 def fit_lda(train: DataFrame, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
@@ -105,36 +230,23 @@ def lda_predict(train: DataFrame, test: DataFrame) -> DataFrame:
 def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, weights: str = "uniform") -> DataFrame:
     """id, y, p: vote of the k nearest train rows (uniform or by inverse distance), ties to the smaller label.
 
-    Train rows are met in blocks of bounded size, and the best of all blocks vote.
+    Test and train rows meet in pairs of blocks, and the best of all blocks vote.
     """
-    spark, block, parts = train.sparkSession, [], []
-
-    def met(rows: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast((np.array([r["x"] for r in rows], float), np.array([r["label"] for r in rows]), np.array([r["id"] for r in rows])))
-
-        def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            x, label, ids = sent.value
-            for whole in it:
-                for lo in range(0, len(whole), 512):
-                    pdf = whole.iloc[lo : lo + 512]
-                    q = np.array(pdf["x"].tolist(), float)
-                    d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * q @ x.T, 0))
-                    m = min(k, len(x))
-                    at = np.argpartition(d, m - 1, axis=1)[:, :m]
-                    yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), m), "y": np.repeat(pdf["label"].to_numpy(int), m), "vote": label[at].ravel(), "from": ids[at].ravel(), "d": np.take_along_axis(d, at, 1).ravel()})
-
-        return test.select("id", "label", "x").mapInPandas(batches, "id bigint, y int, vote int, from bigint, d double")
-
-    for r in train.select("id", "label", "x").toLocalIterator():
-        block.append(r)
-        if len(block) == 50_000:
-            parts.append(met(block))
-            block = []
-    if block:
-        parts.append(met(block))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+
+    def nearest(q: pa.Table, b: pa.Table) -> pa.Table:
+        mine, ids = q.column("id").to_numpy(), b.column("id").to_numpy()
+        row, col, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if len(mine) and len(ids):
+            x, base = geometry.rows_matrix(q, "x"), geometry.rows_matrix(b, "x")
+            for lo in range(0, len(mine), geometry.QUERY_ROWS):
+                d = geometry.distances(x[lo : lo + geometry.QUERY_ROWS], base, "euclidean")
+                r, c = geometry.nearest_rows(d, ids, k)
+                row, col, dist = np.r_[row, lo + r], np.r_[col, c], np.r_[dist, d[r, c]]
+        y, label = q.column("label").to_numpy(), b.column("label").to_numpy()
+        return pa.table({"id": mine[row], "y": y[row], "vote": label[col], "from": ids[col], "d": dist})
+
+    sides = [df.select("id", F.col("label").cast("int").alias("label"), "x") for df in (test, train)]
+    found = geometry.block_pairs(*sides, nearest, "id bigint, y int, vote int, from bigint, d double")
     best = found.groupBy("id", "y").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "from", "vote"))), 1, k).alias("n"))
     each = best.select("id", "y", F.explode("n").alias("n"))
     w = F.lit(1.0) if weights == "uniform" else 1 / F.greatest(F.col("n.d"), F.lit(1e-12))
@@ -157,10 +269,10 @@ def grid_search(name: str, fixed: dict, grid: dict[str, list], df: DataFrame, *,
     n, classes = df.count(), df.select("label").distinct().count()
     sample = df if n <= max_samples else split.sample_per_group(df, ["label"], max_samples // classes, "id", seed)
     sample = features(materialize(sample))
-    best = None
+    rows, best = max(1, sample.count() * (folds - 1) // folds), None
     for values in itertools.product(*grid.values()):
         params = fixed | dict(zip(grid, values))
-        est = REGISTRY[name](**params)
+        est = REGISTRY[name](rows, **params)
         cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=MulticlassClassificationEvaluator(metricName="f1"), numFolds=folds, parallelism=parallelism, seed=seed)
         score = cv.fit(sample).avgMetrics[0]
         if best is None or score > best[1]:
@@ -224,7 +336,8 @@ def shapley_values(predict: Callable[[np.ndarray], np.ndarray], background: np.n
             for x in pdf["x"]:
                 x = np.asarray(x, float)
                 full = float(predict(x[None])[0])
-                y = np.array([predict(np.where(m, x, base)).mean() for m in masks]) - mean
+                mixed = np.where(masks[:, None, :], x, base[None])
+                y = predict(mixed.reshape(-1, d)).reshape(len(masks), -1).mean(axis=1) - mean
                 # the constraint that attributions sum to the difference removes the last feature
                 z = masks[:, :-1].astype(float) - masks[:, -1:]
                 head = np.linalg.lstsq(z, y - masks[:, -1] * (full - mean), rcond=None)[0]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.operators import complexity, geometry, joins, metrics
+from gneiss.operators.encode import l2_normalise
 from gneiss.plans.scratch import materialize
 from gneiss.plans.views import EMB, PRED, emb, pred, r6, rounded, sql_means
 
@@ -139,19 +140,26 @@ def silhouette_risk(spark, d):
     return rounded(complexity.silhouette_measures(complexity.silhouette(emb(spark, d))))
 
 
-def complexity_table(spark: SparkSession, d: str, level: str = "cluster") -> DataFrame:
-    """All measures of every cluster (or class), one row each; the k-NN graph is built once."""
-    points = materialize(emb(spark, d).withColumn("cluster", F.col(level)))
+def complexity_table(spark: SparkSession, d: str, level: str = "cluster", metric: str = "euclidean") -> DataFrame:
+    """All measures of every cluster (or class), one row each; the k-NN graph is built once. Clusters below five rows are noise.
+
+    ``metric`` is that of centroids' and silhouette distances; with cosine, feature overlaps are those of the normalised points.
+    """
+    every = emb(spark, d).withColumn("cluster", F.col(level))
+    small = every.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter("n < 5")
+    noise = materialize(small.select(F.col("cluster").cast("bigint").alias("cluster")))
+    points = materialize(every.join(F.broadcast(noise), "cluster", "left_anti"))
+    shape = points.withColumn("x", l2_normalise(F.col("x"))) if metric == "cosine" else points
     members = points.select("id", "cluster")
     edges = materialize(geometry.knn_graph(points, K))
     classes = points.groupBy("cluster").agg(F.any_value("class").alias("class"))
-    cents = materialize(geometry.centroids(points, "cluster").join(classes, "cluster"))
-    pairs = materialize(geometry.adversaries(cents, TOP))
-    stats = materialize(complexity.feature_stats(points))
+    cents = materialize(geometry.centroids(points, "cluster", spherical=metric == "cosine").join(classes, "cluster"))
+    pairs = materialize(geometry.adversaries(cents, TOP, metric=metric))
+    stats = materialize(complexity.feature_stats(shape))
     tree = complexity.spanning_tree(edges, points)
     both = (
         complexity.fisher_and_volume(pairs, stats)
-        .join(complexity.overlap_shares(points, pairs, stats), ["c", "j"], "full")
+        .join(complexity.overlap_shares(shape, pairs, stats), ["c", "j"], "full")
         .join(complexity.neighbourhood(complexity.neighbour_votes(edges, members, pairs), K), ["c", "j"], "full")
         .join(complexity.borderline(tree, members, pairs), ["c", "j"], "full")
     )
@@ -162,13 +170,25 @@ def complexity_table(spark: SparkSession, d: str, level: str = "cluster") -> Dat
         complexity.hubness(edges, members),
         complexity.density_ratio(members, 64, 0),
         complexity.pca_ratios(points),
-        complexity.dispersion(points, cents),
-        complexity.centroid_gap(cents),
-        complexity.silhouette_measures(complexity.silhouette(points)),
+        complexity.dispersion(points, cents, metric=metric),
+        complexity.centroid_gap(cents, metric=metric),
+        complexity.silhouette_measures(complexity.silhouette(points, metric=metric)),
         classes.withColumnRenamed("class", "cluster_class"),
     ):
         out = out.join(more, "cluster", "left")
-    return rounded(out.withColumn("is_noise_cluster", F.lit(False)))
+    return rounded(complexity.with_noise_rows(out, noise))
+
+
+def complexity_table_cosine(spark, d):
+    return complexity_table(spark, d, metric="cosine")
+
+
+def cosine_dispersion(spark, d):
+    return rounded(complexity.dispersion(emb(spark, d), _cents(spark, d), metric="cosine"))
+
+
+def cosine_centroid_gap(spark, d):
+    return rounded(complexity.centroid_gap(_cents(spark, d), metric="cosine"))
 
 
 def class_complexity_table(spark, d):
@@ -185,7 +205,7 @@ def cluster_summary_join(spark, d):
 
 _NAMES = """class_centroids spherical_centroids nearest_centroid nearest_centroid_cosine nearest_centroid_within_class
 adversary_topk knn_cosine knn_gower_euclidean knn_mixed nn_label_propagation fisher_f1 overlap_f2 overlap_f3_f4
-neighbourhood_n2_n3_n4 clustering_coef hubness t2_ratio pca_t3_t4 mst_n1 cluster_dispersion nearest_centroid_gap silhouette
+neighbourhood_n2_n3_n4 clustering_coef hubness t2_ratio pca_t3_t4 mst_n1 cluster_dispersion nearest_centroid_gap complexity_table_cosine cosine_dispersion cosine_centroid_gap silhouette
 silhouette_risk complexity_table class_complexity_table cluster_summary_join""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -261,6 +281,10 @@ ORACLE = {
         {r6("quantile_cont(list_distance(x, centroid), 0.95)")} AS p95_dispersion FROM emb JOIN cent USING (cluster) GROUP BY cluster""",
     "nearest_centroid_gap": f"""WITH {_CENT} SELECT a.cluster, {r6("min(list_distance(a.centroid, b.centroid))")} AS dist_to_nearest_centroid
         FROM cent a JOIN cent b ON a.cluster <> b.cluster GROUP BY a.cluster""",
+    "cosine_dispersion": f"""WITH {_CENT} SELECT cluster, {r6("max(1 - list_cosine_similarity(x, centroid))")} AS max_dispersion,
+        {r6("quantile_cont(1 - list_cosine_similarity(x, centroid), 0.95)")} AS p95_dispersion FROM emb JOIN cent USING (cluster) GROUP BY cluster""",
+    "cosine_centroid_gap": f"""WITH {_CENT} SELECT a.cluster, {r6("min(1 - list_cosine_similarity(a.centroid, b.centroid))")} AS dist_to_nearest_centroid
+        FROM cent a JOIN cent b ON a.cluster <> b.cluster GROUP BY a.cluster""",
     "silhouette": f"WITH {EMB}, {_SIL} SELECT id, cluster, {r6('s')} AS s FROM sil",
     "silhouette_risk": f"WITH {EMB}, {_SIL} SELECT cluster, {r6('quantile_cont(s, 0.05)')} AS p5_silhouette, {r6('avg(CAST(s < 0 AS DOUBLE))')} AS frac_at_risk FROM sil GROUP BY cluster",
     "cluster_summary_join": f"""WITH {PRED}, {_knn(_COS)}, s AS (SELECT dst, count(*) AS n FROM knn GROUP BY 1),

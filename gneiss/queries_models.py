@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from gneiss.operators import clean, clustering, models, resample
-from gneiss.plans.scratch import materialize
-from gneiss.plans.views import clu, emb, rounded
+from gneiss.operators import clean, clustering, models, resample, split
+from gneiss.plans.scratch import materialize, scratch_dir
+from gneiss.plans.views import clu, emb, pred, rounded
 from gneiss.sources.synthetic import synthetic_table
 
 
@@ -98,11 +100,36 @@ def failure_regression(spark, d):
     return models.nested_failure_regression(rows, ["support", "score"], "rate", [{"n_estimators": 20, "max_depth": 3}, {"n_estimators": 20, "max_depth": 5}], outer=3).select("cluster", "fold", "actual", "predicted")
 
 
+def saved_model_predictions(spark, d):
+    train, test = _split(spark, d)
+    path = f"{scratch_dir(spark)}/model-{uuid.uuid4().hex}"
+    models.save_model(models.fit("decision_tree", {"max_depth": 10}, train), path)
+    return models.predict(models.load_model(path), test).select("id", "y", "p")
+
+
+def linear_svc_predictions(spark, d):
+    return models.calibrated_predict("linear_svc", {"C": 1.0, "max_iter": 10}, *_split(spark, d)).select("id", "y", "p")
+
+
+def svm_rbf_predictions(spark, d):
+    return models.svm_rbf_predict(*_split(spark, d), n=128, max_iter=10).select("id", "y", "p")
+
+
 def attributions(spark, d):
-    w = np.linspace(-1, 1, 64)
-    # a draw from all rows
-    background = np.array([r["x"] for r in emb(spark, d).orderBy(F.xxhash64("id"), "id").limit(25).collect()])
-    out = models.shapley_values(lambda x: x @ w, background, emb(spark, d))
+    """Attributions of the first class's probability under a fitted discriminant to the coordinates, for all rows."""
+    rows = _labelled(spark, d)
+    w, b = models.fit_lda(rows)
+
+    def first(x: np.ndarray) -> np.ndarray:
+        z = x @ w + b
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e[:, 0] / e.sum(axis=1)
+
+    # the background: centres of a draw from all rows
+    drawn = np.array([r["x"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(2000).collect()])
+    label = clustering.kmeans(drawn, n_clusters=25)
+    background = np.array([drawn[label == c].mean(axis=0) for c in np.unique(label)])
+    out = models.shapley_values(first, background, rows)
     return rounded(out.select("id", F.posexplode("values").alias("f", "value")))
 
 
@@ -119,12 +146,16 @@ def bootstrap_ci(spark, d):
 
 
 def block_bootstrap(spark, d):
-    scores, rate, _, blocks = _bootstrap_inputs(spark, d)
-    return rounded(resample.adaptive_block_bootstrap(spark, scores, rate, blocks, reference="score", n=400, batch=200))
+    """Instances are resampled by whole clusters; at most 50,000 of them are drawn by hash, as in the capped sample of a run."""
+    p = split.subsample(pred(spark, d), 50_000, "id").select("id", "cluster", F.array_max("proba").alias("top"), (F.col("y") != F.col("p")).cast("double").alias("failure"))
+    p = p.orderBy("id").toPandas()
+    region = p.groupby("cluster")["failure"].transform("mean").to_numpy()
+    scores = {"region": region, "mcp": 1 - p["top"].to_numpy(), "random": np.random.default_rng(0).random(len(p))}
+    return rounded(resample.adaptive_block_bootstrap(spark, scores, p["failure"].to_numpy(), p["cluster"].to_numpy(), reference="mcp", n=400, batch=200))
 
 
 _NAMES = """synth_counts synth_cleaned kmeans_labels gmm_labels birch_labels spectral_labels kprototypes_labels hdbscan_labels tree_predictions forest_out_of_fold
-logistic_predictions naive_bayes_predictions lda_predictions knn_predictions mlp_predictions boosted_predictions failure_regression
+logistic_predictions naive_bayes_predictions lda_predictions knn_predictions mlp_predictions saved_model_predictions linear_svc_predictions svm_rbf_predictions boosted_predictions failure_regression
 attributions bootstrap_ci block_bootstrap""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.operators import clean, encode, joins, profile, split
+from gneiss.operators import clean, encode, geometry, joins, metrics, prepare, profile, split
 from gneiss.plans.scratch import table
-from gneiss.plans.views import EMB, LINES, emb, lines, r6, rounded
+from gneiss.plans.views import EMB, LINES, PRED, emb, lines, pred, r6, rounded, sql_means
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -148,7 +148,7 @@ def semi_join_keep(spark, d):
 
 
 def anti_join_noise(spark, d):
-    ids = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    ids = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")).distinct()
     return joins.drop_ids(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), ids, "c_custkey")
 
 
@@ -164,10 +164,51 @@ def distinct_ids(spark, d):
     return a.union(o.filter("o_orderstatus = 'F'").select("o_orderkey")).distinct().subtract(o.filter("o_totalprice < 100000").select("o_orderkey"))
 
 
+def classifier_columns(spark, d):
+    """The columns of orders as linear discriminants take them: numbers as they are, categories one by one."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return prepare.classifier_preprocessor("lda", ["o_totalprice"], ["o_orderstatus"]).apply(orders, orders)
+
+
+def column_preprocessor(spark, d):
+    li = lines(spark, d).select("l_orderkey", "l_linenumber", "split", "l_tax", "l_returnflag")
+    both = prepare.ColumnPreprocessor(["l_tax"], ["l_returnflag"], "log_robust", "top_n", {"top_n": 2})
+    return rounded(both.apply(li, li.filter("split = 'train'")))
+
+
+def drop_all_missing(spark, d):
+    i, v = F.col("event_id"), F.col("value")
+    events = table(spark, d, "events").select("event_id", F.when(i % 2 == 0, v).alias("a"), F.when(i % 3 == 0, float("nan")).otherwise(F.when(i % 5 == 0, v)).alias("b"))
+    return prepare.drop_all_missing(events, ["a", "b"]).select("event_id")
+
+
+def label_names(spark, d):
+    return prepare.label_names(table(spark, d, "lineitem"), "l_returnflag")
+
+
+def extended_dataset(spark, d):
+    """Rows with their cluster's size and mean first coordinate, scaled as the train rows have it; clusters ending in 3 have none."""
+    points = emb(spark, d).withColumn("split", F.when(F.col("id") % 5 == 0, "test").otherwise("train"))
+    sizes = points.groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("size"), F.avg(F.get("x", F.lit(0))).alias("first")).filter("cluster % 10 <> 3")
+    return rounded(prepare.extended_splits(points.select("id", "cluster", "split"), sizes))
+
+
+def extended_dataset_labelfree(spark, d):
+    """As extended_dataset, with every row in the cluster of the nearest centroid."""
+    points = emb(spark, d).withColumn("split", F.when(F.col("id") % 5 == 0, "test").otherwise("train"))
+    sizes = points.groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("size"))
+    return rounded(prepare.extended_splits(points.select("id", "cluster", "split", "x"), sizes, cents=geometry.centroids(points, "cluster")))
+
+
+def failing_clusters(spark, d):
+    return rounded(prepare.cluster_counts(metrics.cluster_errors(pred(spark, d).filter("id % 3 = 0"))))
+
+
 _NAMES = """drop_nonfinite predicate_filter rare_category_filter small_cluster_absorb log_robust_scale median_impute_scale
 topn_category_encode topn_hash_encode label_encode capped_category one_hot l2_normalised table_profile class_weights
 cluster_distribution stratified_split stratified_folds undersample_to_min subsample_rows subsample_strata cluster_subsample
-proportional_cap topk_per_group left_join_features lookup_rates semi_join_keep anti_join_noise union_splits distinct_ids""".split()
+proportional_cap topk_per_group left_join_features lookup_rates semi_join_keep anti_join_noise union_splits distinct_ids
+classifier_columns column_preprocessor drop_all_missing label_names extended_dataset extended_dataset_labelfree failing_clusters""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _EV = """ev AS (SELECT event_id, event_type, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0 THEN NULL ELSE value END AS value FROM events)"""
@@ -242,8 +283,35 @@ ORACLE = {
     "lookup_rates": """WITH r AS (SELECT o_custkey, avg(o_totalprice) AS rate FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1)
         SELECT c_custkey AS o_custkey, round(coalesce(rate, (SELECT avg(rate) FROM r)), 2) AS rate FROM customer LEFT JOIN r ON c_custkey = r.o_custkey""",
     "semi_join_keep": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
-    "anti_join_noise": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "anti_join_noise": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')",
     "union_splits": f"WITH {LINES} SELECT l_returnflag, split, count(*) AS n FROM li GROUP BY ALL",
     "distinct_ids": """SELECT DISTINCT k FROM (SELECT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
         WHERE k NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice < 100000)""",
+    "cluster_subsample": f"""WITH {EMB}, s AS (SELECT cluster, count(*) AS n, sum(count(*)) OVER () AS total FROM emb GROUP BY cluster),
+        a AS (SELECT cluster, total, CAST(least(n, greatest(3, round_even(200 * n / total, 0))) AS BIGINT) AS want FROM s),
+        b AS (SELECT *, greatest(want - 3, 0) AS spare, sum(want) OVER () - 200 AS owed FROM a),
+        c AS (SELECT *, coalesce(sum(spare) OVER (ORDER BY want DESC, cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
+        q AS (SELECT cluster, total, want - least(spare, greatest(owed - before, 0)) AS take FROM c)
+        SELECT e.id, e.cluster FROM (SELECT id, cluster, {_RANK.format("cluster", "id", "id")} AS rk FROM emb) e JOIN q USING (cluster) WHERE rk <= take OR total <= 200""",
+    "classifier_columns": "SELECT o_orderkey, o_totalprice, "
+    + ", ".join(f"CAST(o_orderstatus = '{v}' AS INTEGER) AS \"o_orderstatus={v}\"" for v in "FOP")
+    + " FROM orders",
+    "column_preprocessor": f"""WITH {LINES}, q AS (SELECT quantile_cont(ln(1 + greatest(l_tax, 0) + 1e-10), [0.25, 0.5, 0.75]) AS q_l_tax FROM li WHERE split = 'train'),
+        t AS (SELECT l_returnflag, row_number() OVER (ORDER BY n DESC, l_returnflag) AS code FROM (SELECT l_returnflag, count(*) AS n FROM li WHERE split = 'train' GROUP BY 1))
+        SELECT l_orderkey, l_linenumber, split, {_scaled("l_tax")}, CAST(CASE WHEN code <= 2 THEN code ELSE 0 END AS INTEGER) AS l_returnflag
+        FROM li LEFT JOIN t USING (l_returnflag), q""",
+    "drop_all_missing": "SELECT event_id FROM events WHERE value IS NOT NULL AND isfinite(value) AND (event_id % 2 = 0 OR (event_id % 3 <> 0 AND event_id % 5 = 0))",
+    "label_names": "SELECT CAST(row_number() OVER (ORDER BY l_returnflag) - 1 AS INTEGER) AS code, l_returnflag AS name FROM (SELECT DISTINCT l_returnflag FROM lineitem)",
+    "extended_dataset": f"""WITH {EMB}, f AS (SELECT cluster, CAST(count(*) AS DOUBLE) AS size, avg(x[1]) AS first FROM emb WHERE cluster % 10 <> 3 GROUP BY cluster),
+        r AS (SELECT id, cluster, CASE WHEN id % 5 = 0 THEN 'test' ELSE 'train' END AS split, size, first FROM emb JOIN f USING (cluster)),
+        q AS (SELECT quantile_cont(size, [0.25, 0.5, 0.75]) AS a, quantile_cont(first, [0.25, 0.5, 0.75]) AS b FROM r WHERE split = 'train')
+        SELECT id, cluster, split, {r6("(size - a[2]) / (CASE WHEN a[3] = a[1] THEN 1 ELSE a[3] - a[1] END)")} AS size,
+          {r6("(first - b[2]) / (CASE WHEN b[3] = b[1] THEN 1 ELSE b[3] - b[1] END)")} AS first FROM r, q""",
+    "extended_dataset_labelfree": f"""WITH {EMB}, {sql_means("cent", "cluster")}, f AS (SELECT cluster, CAST(count(*) AS DOUBLE) AS size FROM emb GROUP BY cluster),
+        n AS (SELECT id, arg_min(k.cluster, list_distance(x, k.centroid)) AS cluster FROM emb, cent k GROUP BY id),
+        r AS (SELECT id, cluster, CASE WHEN id % 5 = 0 THEN 'test' ELSE 'train' END AS split, size FROM n JOIN f USING (cluster)),
+        q AS (SELECT quantile_cont(size, [0.25, 0.5, 0.75]) AS a FROM r WHERE split = 'train')
+        SELECT id, cluster, split, {r6("(size - a[2]) / (CASE WHEN a[3] = a[1] THEN 1 ELSE a[3] - a[1] END)")} AS size FROM r, q""",
+    "failing_clusters": f"""WITH {PRED}, e AS (SELECT cluster, avg(CAST(y <> p AS DOUBLE)) AS rate FROM pred WHERE id % 3 = 0 GROUP BY cluster)
+        SELECT count(*) AS n_clusters, count(*) FILTER (rate > 0) AS n_failing, {r6("count(*) FILTER (rate > 0) / count(*)")} AS share_failing FROM e""",
 }

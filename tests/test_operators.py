@@ -291,3 +291,21 @@ def test_too_few_clusters_fall_back_to_the_whole_sweep(spark):
     combos = [{"n_clusters": 2}, {"n_clusters": 4}]
     assert clustering.grid_search(df, "kmeans", combos, min_clusters=50).first()["n_clusters"] == 2
     assert clustering.grid_search(df, "kmeans", combos, min_clusters=4).first()["n_clusters"] == 4
+
+
+def test_models_take_their_parameters(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 3, [float(v) for v in rng.standard_normal(2) + 4 * np.eye(3)[i % 3, :2]]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, label int, x array<double>")
+    assert [models.REGISTRY["logistic_regression"](100, C=c).getRegParam() for c in (0.01, 10.0)] == [1.0, 0.001]
+    assert models.REGISTRY["random_forest"](1).getMaxDepth() == 30 and models.REGISTRY["decision_tree"](1, max_depth=4, n_jobs=2).getMaxDepth() == 4
+    with pytest.raises(ValueError):
+        models.REGISTRY["linear_svc"](100, C_=1.0)
+    model = models.fit("logistic_regression", {"C": 10.0}, df)
+    models.save_model(model, str(tmp_path / "m"))
+    want = sorted((r["id"], r["p"]) for r in models.predict(model, df).collect())
+    assert sorted((r["id"], r["p"]) for r in models.predict(models.load_model(str(tmp_path / "m")), df).collect()) == want
+    for got in (models.calibrated_predict("linear_svc", {"max_iter": 20}, df, df), models.svm_rbf_predict(df, df, n=64, max_iter=20)):
+        got = got.collect()
+        assert all(abs(sum(r["proba"]) - 1) < 1e-9 and r["p"] == int(np.argmax(r["proba"])) for r in got)
+        assert sum(r["p"] == r["y"] for r in got) > 270
