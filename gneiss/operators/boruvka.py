@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.plans.scratch import materialize
+from gneiss.plans.scratch import discard, materialize
 
 LOCAL_EDGES = 50_000
 EDGE = "u bigint, v bigint, w double"
@@ -60,16 +60,20 @@ def spanning_forest(edges: DataFrame, *, local_edges: int = LOCAL_EDGES) -> tupl
         parent = materialize(
             hook.join(back, "up").select("a", F.when((F.col("back") == F.col("a")) & (F.col("a") < F.col("up")), F.col("a")).otherwise(F.col("up")).alias("up"))
         )
+        held = parent  # the scratch table behind parent
         while True:
             step = parent.join(parent.select(F.col("a").alias("up"), F.col("up").alias("top")), "up").select("a", "up", "top")
             step = materialize(step)
-            parent = step.select("a", F.col("top").alias("up"))
+            discard(held)
+            held, parent = step, step.select("a", F.col("top").alias("up"))
             if step.filter("up <> top").limit(1).count() == 0:
                 break
+        before = left, labels
         left = _contracted(left, parent)
         labels = materialize(
             labels.join(parent.withColumnRenamed("a", "comp"), "comp", "left").select("id", F.coalesce("up", "comp").alias("comp"))
         )
+        discard(*before, held)
         n = left.count()
 
     def finish(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

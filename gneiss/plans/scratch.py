@@ -36,12 +36,34 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the scratch folder and return the table read back.
 
-    The schema is passed on reading, so an empty table keeps its columns.
+    The schema is passed on reading, so an empty table keeps its columns. discard() deletes the table, clear() all of the application's.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/gneiss-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/gneiss-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(at) or ():
+        fs.delete(found.getPath(), True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that no result still reads."""
+    for df in tables:
+        if path := getattr(df, "_scratch_path", None):
+            _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every scratch table of this application; results that haven't been written or collected are lost."""
+    _delete(spark, f"{scratch_dir(spark)}/gneiss-{spark.sparkContext.applicationId}-*")
 
 
 def broadcast_if(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
