@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.clean import finite, norm_label, quoted
-from gneiss.plans.scratch import broadcast_if, materialize
+from gneiss.plans.scratch import broadcast_if, keyed_join, materialize
 
 WIDTH = 0.5
 HOT_PAIRS = 2000
@@ -75,6 +75,12 @@ class Fields:
             F.array(*texts).alias("texts"),
         )
 
+    def records(self, df: DataFrame, id_col: str) -> DataFrame:
+        """id and two hashes of the whole record; nulls are told apart by their place."""
+        nums = [F.coalesce(finite(quoted(c)), F.lit(float("nan"))) for c in self.num]
+        texts = [t for c in [*[quoted(c) for c in self.cat], norm_label(quoted(self.label))] for t in (F.coalesce(c, F.lit("")), c.isNull())]
+        return df.select(quoted(id_col).alias("id"), F.xxhash64(*nums, *texts).alias("r1"), F.xxhash64(F.lit(1), *nums, *texts).alias("r2"))
+
     def hashed(self, df: DataFrame, probing: bool, extend: bool) -> DataFrame:
         """id, key and, with ``extend``, the key's extensions by each run of the other fields.
 
@@ -164,8 +170,8 @@ def near_rows(
     """
     f = Fields(num_cols, cat_cols, label, max_diff, rel_tol)
     rows = rows.filter(quoted(id_col).isNotNull())
-    train = f.select(rows.filter(F.col("split") == "train"), id_col)
-    held = f.select(rows.filter(F.col("split").isin("val", "test")), id_col)
+    train, train_copies = _distinct(f, rows.filter(F.col("split") == "train"), id_col)
+    held, held_copies = _distinct(f, rows.filter(F.col("split").isin("val", "test")), id_col)
     tk = materialize(f.hashed(train, False, False))
     ek = materialize(f.hashed(held, True, False))
     sizes = tk.groupBy("key").agg(F.count_distinct("id").alias("t")).join(
@@ -192,4 +198,23 @@ def near_rows(
 
     hits = pairs.join(side(held, "eval_id", "x"), "eval_id").join(side(train, "train_id", "y"), "train_id")
     hits = hits.select("train_id", "eval_id", _differences(rel_tol).alias("n_diff")).filter(F.col("n_diff") <= max_diff)
-    return hits.groupBy("train_id", "eval_id").agg(F.min("n_diff").alias("n_diff"))
+    hits = hits.groupBy("train_id", "eval_id").agg(F.min("n_diff").alias("n_diff"))
+    for name, copies in (("train_id", train_copies), ("eval_id", held_copies)):
+        every = copies.select(F.col("first").alias(name), F.col("id").alias("_copy"))
+        more = hits.join(every, name).drop(name).withColumnRenamed("_copy", name)
+        hits = hits.unionByName(more.select(*hits.columns))
+    return hits
+
+
+def _distinct(f: Fields, rows: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(the fields of ``rows`` with one row of every record, by its smallest id; (first, id) of the other ids of each record).
+
+    Only hashes and ids are shuffled. Records that many ids hold are compared once, and their pairs are made at the end.
+    """
+    keys = f.records(rows, id_col)
+    shared = keys.groupBy("r1", "r2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+    shared = materialize(shared.filter("first <> last").select("r1", "r2", "first", "n"))
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    copies = keyed_join(keys, shared, ["r1", "r2"], "n", total).filter("id <> first")
+    copies = materialize(copies.select("first", "id").distinct())
+    return f.select(rows, id_col).join(broadcast_if(copies.select("id"), total, 16), "id", "left_anti"), copies

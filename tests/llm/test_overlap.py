@@ -20,6 +20,7 @@ def _rows():
             k = rng.randrange(8)
             r[k] = (r[k] or 1.0) * rng.choice([1.0099, 0.9901, 1.02]) if k < 5 else rng.choice(["a", "x", None])
         rows.append((i, rng.choice(["train", "train", "val", "test", None]), *r, "q", "q"))
+    rows += [(1000 + 50 * c + i, s, *rows[i][2:]) for i in range(12) for c, s in enumerate(("train", "train", "val", "test"))]  # copies under other ids
     rows += rows[:20] + [(None, "train", *rows[0][2:])]
     return rows
 
