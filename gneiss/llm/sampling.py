@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from gneiss.functions.clean import norm_label
 from gneiss.plans.scratch import broadcast_if, materialize
 
-SALTS = 32
+#: Bits of a key that number its slice.
+SLICE_BITS = 10
 
 
 def allocate(n: int, shares: np.ndarray, floors: np.ndarray, available: np.ndarray, shrink: bool = False) -> np.ndarray:
@@ -161,9 +162,18 @@ def draw(configs: DataFrame, report: DataFrame, rows: DataFrame) -> DataFrame:
     drawn.append(rows.select("row_id", "pool_id", F.lit(None).cast("string").alias("category")).join(plain, "pool_id"))
     cols = ["config_id", "row_id", "category", "quota", "seed"]
     every = drawn[0].select(*cols).unionByName(drawn[1].select(*cols)).unionByName(drawn[2].select(*cols))
-    every = every.withColumn("_key", F.xxhash64("row_id", "seed", "config_id"))
-    every = every.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)))
-    for part in (["_salt"], []):
-        w = Window.partitionBy("config_id", "category", *part).orderBy("_key", "row_id")
-        every = every.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= F.col("quota"))
-    return every.select("config_id", "row_id", "category")
+    every = every.withColumn("_key", F.xxhash64("row_id", "seed", "config_id")).withColumn("_slice", F.shiftright("_key", 64 - SLICE_BITS))
+    # the slice of keys in which a quota ends: all smaller keys are drawn, and only that slice's rows are ranked
+    group = Window.partitionBy("config_id", "category").orderBy("_slice")
+    sizes = every.groupBy("config_id", "category", "quota", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    last = sizes.withColumn("_upto", F.sum("_n").over(group)).filter(F.col("_upto") - F.col("_n") < F.col("quota"))
+    last = last.groupBy("config_id", "category").agg(F.max_by(F.struct("_slice", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("left")), "_slice").alias("_last"))
+    n_groups = n + plain.count()
+    # one row per target or configuration
+    cut = broadcast_if(last.withColumnsRenamed({"config_id": "_id", "category": "_category"}), n_groups, 64)
+    every = every.join(cut, (F.col("config_id") == F.col("_id")) & F.col("category").eqNullSafe(F.col("_category")))
+    whole = every.filter(F.col("_slice") < F.col("_last._slice"))
+    w = Window.partitionBy("config_id", "category").orderBy("_key", "row_id")
+    part = every.filter(F.col("_slice") == F.col("_last._slice")).withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= F.col("_last.left"))
+    cols = ["config_id", "row_id", "category"]
+    return whole.select(*cols).unionByName(part.select(*cols))
