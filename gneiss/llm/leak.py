@@ -11,6 +11,7 @@ is shuffled.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
+#: Words of items in one index, and indexes that a scan of the corpus holds.
 ITEM_WORDS_AT_ONCE = 500_000
+INDEXES_A_SCAN = 4
 ALIGNMENTS_AT_ONCE = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_indexes: dict[str, list] = {}
 
 
 def words_of(text: str | None) -> list[str]:
@@ -150,6 +154,14 @@ def _scan(items: Items, doc_ids: np.ndarray, texts: list[str | None]) -> pd.Data
     ).astype("int64")
 
 
+def _held(sent, key: str, run: int, budget: int) -> list[Items]:
+    """The indexes of a scan, built once per worker process."""
+    if key not in _indexes:
+        _indexes.clear()
+        _indexes[key] = [Items(*group, run, budget) for group in sent.value]
+    return _indexes[key]
+
+
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -167,7 +179,7 @@ def find_leaks(
     it holds, how many of them word for word, and the least distance. Null and empty
     texts and items of fewer than ``run`` words have no window; ids are integers, an id
     should be unique, null ids are left out; documents of any length are read whole. Items are
-    sent to the executors in groups of a bounded number of words, each item whole.
+    sent to the executors in groups of a bounded number of words, each item whole; one scan of the corpus serves INDEXES_A_SCAN groups.
     """
     source = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
@@ -184,15 +196,16 @@ def find_leaks(
         groups[-1][1].append(words)
         size += len(words)
     out = None
-    for ids, texts in groups:
-        sent = spark.sparkContext.broadcast((ids, texts))
+    for lo in range(0, len(groups), INDEXES_A_SCAN):
+        sent, key = spark.sparkContext.broadcast(groups[lo : lo + INDEXES_A_SCAN]), uuid.uuid4().hex
 
-        def batches(it: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            held = Items(*sent.value, run, budget)
+        def batches(it: Iterator[pd.DataFrame], sent=sent, key=key) -> Iterator[pd.DataFrame]:
+            held = _held(sent, key, run, budget)
             for pdf in it:
                 for k in range(0, len(pdf), 1000):
                     part = pdf.iloc[k : k + 1000]
-                    yield _scan(held, part["doc_id"].to_numpy(), part["text"].tolist())
+                    for index in held:
+                        yield _scan(index, part["doc_id"].to_numpy(), part["text"].tolist())
 
         schema = "item_id bigint, doc_id bigint, windows bigint, exact_windows bigint, distance bigint"
         found = source.mapInPandas(batches, schema)
