@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.plans.scratch import keyed_join, materialize
+from gneiss.plans.scratch import discard, keyed_join, materialize
 
 MAX_RATED = 20_000
 MAX_PASSAGES = 400_000
@@ -425,7 +425,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, max_rated: int = MAX_
     candidates = distinct.select("k1", "k2", "passage").mapInArrow(
         screen, "k1 bigint, k2 bigint, passage string, room double, unknown array<string>, tf array<int>"
     )
-    candidates = materialize(candidates)
+    scored = candidates = materialize(candidates)
     each = candidates.select("k1", "k2", F.explode(F.arrays_zip("unknown", "tf")).alias("u")).select("k1", "k2", F.xxhash64("u.unknown").alias("h"), "u.tf")
     weight = (1 + F.log("tf")) * F.log((F.lit(float(n)) + 1) / (F.col("df") + 0.5))
     rest = keyed_join(each, frequency, ["h"], "df", n).groupBy("k1", "k2").agg(F.sum(weight * weight).alias("rest"))
@@ -447,6 +447,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, max_rated: int = MAX_
 
     voted = candidates.select("k1", "k2", "passage", "rest").mapInArrow(vote, "k1 bigint, k2 bigint, passage string, vote double, evidence string")
     voted = materialize(voted)
+    discard(scored, frequency)
     voted = voted.join(distinct.select("k1", "k2", "n"), ["k1", "k2"])
     worst = (
         keyed_join(held.select("doc_id", "k1", "k2"), voted, ["k1", "k2"], "n", n)
