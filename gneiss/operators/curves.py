@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.operators.metrics import average_rank
+from gneiss.plans.order import quantiles, value_places, with_places
+from gneiss.plans.scratch import materialize
 
 
 def risk_coverage(df: DataFrame, *, score: str = "score", rate: str = "rate", support: str = "support", ordinal: str = "ordinal", by: tuple[str, ...] = ()) -> DataFrame:
@@ -92,15 +94,20 @@ def selective_recall(df: DataFrame, guess: str, *, target: float = 0.8) -> DataF
 def instance_scores(df: DataFrame, mcp: str, region: str, cluster: str) -> DataFrame:
     """mcp_cluster, combo_rankavg, combo_within added: confidence averaged by cluster, the sum of rank shares, and the region's dense rank with confidence inside it.
 
-    Ranks are global by definition: they need one total order of the samples.
+    Ranks are global by definition; they come from counts of values, so no task orders all samples. Null scores give null.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    share = average_rank(mcp) / (n + 1)
-    return (
-        df.withColumn("mcp_cluster", F.avg(mcp).over(Window.partitionBy(cluster)))
-        .withColumn("combo_rankavg", average_rank(region) / (n + 1) + share)
-        .withColumn("combo_within", F.dense_rank().over(Window.orderBy(region)) - 1 + share)
+    df = materialize(df)
+    n = df.count()
+    means = df.groupBy(cluster).agg(F.avg(mcp).alias("mcp_cluster"))
+    ranked = with_places(df, mcp).withColumn("_m", F.col("_before") + (F.col("_n") + 1) / 2).drop("_n", "_before", "_place")
+    ranked = with_places(ranked, region)
+    share = F.col("_m") / (n + 1)
+    ranked = (
+        ranked.withColumn("combo_rankavg", (F.col("_before") + (F.col("_n") + 1) / 2) / (n + 1) + share)
+        .withColumn("combo_within", F.col("_place") + share)
+        .drop("_m", "_n", "_before", "_place")
     )
+    return ranked.join(means, cluster, "left")
 
 
 def fold_rank(df: DataFrame, value: str, fold: str) -> DataFrame:
@@ -111,7 +118,7 @@ def fold_rank(df: DataFrame, value: str, fold: str) -> DataFrame:
 
 def quantile_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     """bin 0.. added: right-closed bins between distinct quantiles, the first also closed on the left; null when fewer than two remain."""
-    q = df.agg(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("q")).first()["q"] or []
+    q = quantiles(df, {value: F.col(value)}, [i / bins for i in range(bins + 1)])[value] or []
     edges = sorted(set(q))
     if len(edges) < 3:
         return df.withColumn("bin", F.lit(None).cast("int"))
@@ -120,21 +127,19 @@ def quantile_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     return df.withColumn("bin", F.when(F.col(value).isNotNull(), at))
 
 
-def atc_threshold(df: DataFrame, confidence: str, correct: Column, ordinal: str) -> DataFrame:
-    """One row: threshold, the confidence below which as many samples lie as are wrong; the first of equal gaps, the least confidence if none improves."""
-    w = Window.orderBy(confidence, ordinal)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    ok = correct.cast("bigint")
-    wrong = F.sum(1 - ok).over(Window.partitionBy())
-    rows = df.select(F.col(confidence).alias("conf"), F.row_number().over(w).alias("pos"), wrong.alias("w"), F.sum(ok).over(run).alias("fn"), F.sum(1 - ok).over(run).alias("gone"))
-    gaps = rows.select("conf", "pos", F.abs(F.col("w") - F.col("gone") - F.col("fn")).alias("gap"))
-    start = rows.filter("pos = 1").select("conf", F.lit(0).alias("pos"), F.col("w").alias("gap"))
-    return gaps.union(start).agg(F.min_by("conf", F.struct("gap", "pos")).alias("threshold"))
+def atc_threshold(df: DataFrame, confidence: str, correct: Column) -> DataFrame:
+    """One row: threshold, the confidence below which as many samples lie as are wrong; the least confidence if none is wrong.
+
+    Of n samples in the order of their confidence with w wrong ones, that is the w-th smallest.
+    """
+    wrong = df.agg(F.greatest(F.count_if(~correct), F.lit(1)).alias("_w"))
+    at = value_places(df, confidence).join(F.broadcast(wrong), (F.col("_before") < F.col("_w")) & (F.col("_w") <= F.col("_before") + F.col("_n")))
+    return at.agg(F.max(confidence).alias("threshold"))
 
 
-def atc_cluster_risk(df: DataFrame, confidence: str, correct: Column, cluster: str, ordinal: str) -> DataFrame:
+def atc_cluster_risk(df: DataFrame, confidence: str, correct: Column, cluster: str) -> DataFrame:
     """cluster, atc_risk: share of the cluster's samples below the threshold."""
-    t = atc_threshold(df, confidence, correct, ordinal)
+    t = atc_threshold(df, confidence, correct)
     below = (F.col(confidence) < F.col("threshold")).cast("double")
     return df.crossJoin(F.broadcast(t)).groupBy(cluster).agg(F.avg(below).alias("atc_risk"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.clean import finite, quoted
+from gneiss.plans.order import quantiles
 
 
 def log_squash(c: Column, epsilon: float = 1e-10) -> Column:
@@ -30,14 +31,10 @@ class RobustScaler:
 
     @classmethod
     def fit(cls, train: DataFrame, cols: list[str], prepare=finite) -> RobustScaler:
-        """One aggregate over the train rows; missing values are left out."""
-        if not cols:
-            return cls({}, {})
-        row = train.agg(
-            *[F.percentile(prepare(quoted(c)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(cols)]
-        ).first()
+        """Exact quantiles of the train rows; missing values are left out."""
+        found = quantiles(train, {c: prepare(quoted(c)) for c in cols}, [0.25, 0.5, 0.75])
         center, spread = {}, {}
-        for c, q in zip(cols, row):
+        for c, q in found.items():
             lo, mid, hi = q or (None, None, None)
             center[c], spread[c] = mid, (hi - lo) or 1.0 if q else 1.0
         return cls(center, spread)
@@ -55,8 +52,7 @@ def log_robust_scale(df: DataFrame, train: DataFrame, cols: list[str]) -> DataFr
 
 def impute_robust_scale(df: DataFrame, train: DataFrame, cols: list[str]) -> DataFrame:
     """Missing values of ``cols`` replaced by the train median, then robust-scaled with train statistics after imputing."""
-    row = train.agg(*[F.percentile(finite(quoted(c)), 0.5).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    medians = dict(zip(cols, row))
+    medians = {c: q and q[0] for c, q in quantiles(train, {c: finite(quoted(c)) for c in cols}, [0.5]).items()}
     filled = {c: F.coalesce(finite(quoted(c)), F.lit(medians[c])) for c in cols}
     scaler = RobustScaler.fit(train.select(*[filled[c].alias(c) for c in cols]), cols)
     return df.select(*[scaler.apply(c, filled[c]).alias(c) if c in cols else quoted(c) for c in df.columns])

@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.clean import quoted
+from gneiss.plans.order import random_ranks
 from gneiss.plans.scratch import materialize
 
+#: Up to so many rows of a group are held by one task; it changes the plan, never the rows.
+FEW = 10_000
+
 
 def order_key(key: str, seed: int = 42) -> Column:
     """A random but repeatable order of rows."""
@@ -19,13 +23,16 @@ def order_key(key: str, seed: int = 42) -> Column:
 
 
 def _ranked(df: DataFrame, by: list[str], key: str, seed: int) -> DataFrame:
-    w = Window.partitionBy(*[quoted(c) for c in by]).orderBy(order_key(key, seed), quoted(key))
-    return df.withColumn("_rank", F.row_number().over(w))
+    """``_rank`` added: the place of every row in the random order of its group; no task orders a whole group."""
+    return random_ranks(df, [quoted(c) for c in by], order_key(key, seed), quoted(key))
 
 
 def sample_per_group(df: DataFrame, by: list[str], n: int, key: str, seed: int = 42) -> DataFrame:
-    """At most ``n`` rows of each group. The rank limit is applied before the shuffle as well."""
-    return _ranked(df, by, key, seed).filter(F.col("_rank") <= n).drop("_rank")
+    """At most ``n`` rows of each group. For few rows a window does, whose limit is applied before the shuffle as well."""
+    if n > FEW:
+        return _ranked(df, by, key, seed).filter(F.col("_rank") <= n).drop("_rank")
+    w = Window.partitionBy(*[quoted(c) for c in by]).orderBy(order_key(key, seed), quoted(key))
+    return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
 
 
 def undersample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
@@ -49,12 +56,13 @@ def stratified_split(
     """``split`` column: each class cut exactly at rounded shares of its size, train first, then val of the rest."""
     if abs(train + val + test - 1) > 1e-9:
         raise ValueError("shares must add up to 1")
-    n = F.count(F.lit(1)).over(Window.partitionBy(quoted(label)))
+    n = F.col("_n")
     first = F.floor(n * train + 0.5)
     second = first + F.floor((n - first) * (val / (val + test) if val + test else 0) + 0.5)
-    ranked = _ranked(df, [label], key, seed).withColumn("_first", first).withColumn("_second", second)
+    ranked = _ranked(df, [label], key, seed).join(F.broadcast(_sizes(df, label)), quoted(label).eqNullSafe(F.col("_c")))  # one row per class
+    ranked = ranked.withColumn("_first", first).withColumn("_second", second)
     name = F.when(F.col("_rank") <= F.col("_first"), "train").when(F.col("_rank") <= F.col("_second"), "val").otherwise("test")
-    return ranked.withColumn("split", name).drop("_rank", "_first", "_second")
+    return ranked.withColumn("split", name).drop("_rank", "_first", "_second", "_c", "_n")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 42) -> DataFrame:
@@ -66,6 +74,11 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 42
     return _ranked(df, [label], key, seed).withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank")
 
 
+def _sizes(df: DataFrame, by: str) -> DataFrame:
+    """_c, _n: one row per group."""
+    return df.groupBy(quoted(by).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def cluster_quotas(sizes: DataFrame, budget: int, floor: int) -> DataFrame:
     """_c, _take from (_c, _n), one row per cluster: its rounded share of the budget, at least ``floor`` and at most all.
 
@@ -85,7 +98,7 @@ def cluster_quotas(sizes: DataFrame, budget: int, floor: int) -> DataFrame:
 
 def cluster_subsample(df: DataFrame, cluster: str, key: str, budget: int, floor: int = 50, seed: int = 42) -> DataFrame:
     """A subsample stratified by cluster; all rows where they fit the budget. Null clusters take no part beyond the budget."""
-    sizes = materialize(df.groupBy(quoted(cluster).alias("_c")).agg(F.count(F.lit(1)).alias("_n")))
+    sizes = materialize(_sizes(df, cluster))
     if (sizes.agg(F.sum("_n")).first()[0] or 0) <= budget:
         return df
     take = cluster_quotas(sizes, budget, floor)
@@ -95,9 +108,10 @@ def cluster_subsample(df: DataFrame, cluster: str, key: str, budget: int, floor:
 
 def proportional_cap(df: DataFrame, cluster: str, key: str, budget: int, seed: int = 42) -> DataFrame:
     """At most about ``budget`` rows, every cluster by its share and with one row at least."""
-    total = df.count()
+    sizes = materialize(_sizes(df, cluster))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
     if total <= budget:
         return df
-    n = F.count(F.lit(1)).over(Window.partitionBy(quoted(cluster)))
-    ranked = _ranked(df, [cluster], key, seed).withColumn("_take", F.greatest(F.lit(1), F.floor(n * budget / F.lit(total))))
-    return ranked.filter(F.col("_rank") <= F.col("_take")).drop("_rank", "_take")
+    take = F.greatest(F.lit(1), F.floor(F.col("_n") * budget / F.lit(total)))
+    ranked = _ranked(df, [cluster], key, seed).join(F.broadcast(sizes), quoted(cluster).eqNullSafe(F.col("_c")))
+    return ranked.filter(F.col("_rank") <= take).drop("_rank", "_c", "_n")

@@ -116,12 +116,12 @@ def quantile_bins(spark, d):
 
 def atc_threshold(spark, d):
     s = _region(spark, d).withColumn("conf", 1 - F.col("mcp"))
-    return rounded(curves.atc_threshold(s, "conf", F.col("y") == F.col("p"), "id"))
+    return rounded(curves.atc_threshold(s, "conf", F.col("y") == F.col("p")))
 
 
 def atc_cluster_risk(spark, d):
     s = _region(spark, d).withColumn("conf", 1 - F.col("mcp"))
-    return rounded(curves.atc_cluster_risk(s, "conf", F.col("y") == F.col("p"), "cluster", "id"))
+    return rounded(curves.atc_cluster_risk(s, "conf", F.col("y") == F.col("p"), "cluster"))
 
 
 def error_mass_classes(spark, d):
@@ -132,7 +132,7 @@ def error_mass_classes(spark, d):
 def instance_calibration(spark, d):
     """Mean squared error of the region's rate and of the confidence against failure, and ATC's error of the total rate."""
     s = _region(spark, d).withColumn("wrong", (F.col("y") != F.col("p")).cast("double"))
-    atc = curves.atc_cluster_risk(s.withColumn("conf", 1 - F.col("mcp")), "conf", F.col("wrong") == 0, "cluster", "id")
+    atc = curves.atc_cluster_risk(s.withColumn("conf", 1 - F.col("mcp")), "conf", F.col("wrong") == 0, "cluster")
     j = s.join(atc, "cluster")
     sq = lambda c: F.avg(F.pow(F.col(c) - F.col("wrong"), 2))
     return rounded(j.agg(sq("region").alias("mse_region"), sq("mcp").alias("mse_mcp"), F.abs(F.avg("atc_risk") - F.avg("wrong")).alias("atc_abs_error")))

@@ -2,11 +2,13 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gneiss.operators import clean, clustering, complexity, curves, encode, geometry, metrics, models, resample, split
 from gneiss.operators import profile as profiles
 from gneiss.operators.joins import attach_features
+from gneiss.plans import order
 
 INF, NAN = float("inf"), float("nan")
 
@@ -309,3 +311,26 @@ def test_models_take_their_parameters(spark, tmp_path):
         got = got.collect()
         assert all(abs(sum(r["proba"]) - 1) < 1e-9 and r["p"] == int(np.argmax(r["proba"])) for r in got)
         assert sum(r["p"] == r["y"] for r in got) > 270
+
+
+def test_places_and_quantiles(spark):
+    rng = np.random.default_rng(8)
+    v = [float(x) for x in rng.integers(0, 40, 500)] + [7.0] * 300
+    df = spark.createDataFrame([(i, x, None if i % 3 else x * 2) for i, x in enumerate(v)] + [(900, None, None), (901, NAN, NAN)], "id bigint, a double, b double")
+    got = order.quantiles(df, {"a": F.col("a"), "b": F.col("b"), "none": F.lit(None)}, [0.0, 0.3, 0.5, 0.95, 1.0])
+    assert np.allclose(got["a"], np.quantile(v, [0.0, 0.3, 0.5, 0.95, 1.0])) and got["none"] is None
+    assert np.allclose(got["b"], np.quantile([x * 2 for i, x in enumerate(v) if i % 3 == 0], [0.0, 0.3, 0.5, 0.95, 1.0]))
+    rows = order.with_places(df.filter("id < 901"), "a").collect()
+    names = sorted(set(v))
+    for r in rows:
+        if r["a"] is not None:
+            assert (r["_before"], r["_n"], r["_place"]) == (sum(x < r["a"] for x in v), v.count(r["a"]), names.index(r["a"]))
+    assert len(rows) == 801 and order.quantiles(df.limit(0), {"a": F.col("a")}, [0.5]) == {"a": None}
+
+
+def test_random_ranks_equal_a_window(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 10 > 2, "big").when(F.col("id") % 10 == 2, F.lit(None)).otherwise("small").alias("y"))
+    got = split._ranked(df, ["y"], "id", 5)
+    w = Window.partitionBy("y").orderBy(split.order_key("id", 5), "id")
+    assert got.withColumn("w", F.row_number().over(w)).filter("w <> _rank").count() == 0 and got.count() == 3000
+    assert got.columns == ["id", "y", "_rank"]
