@@ -161,6 +161,13 @@ QUERIES = {n: globals()[n] for n in _NAMES}
 
 _LAB = "emb AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
 ORACLE = {
+    "naive_bayes_predictions": f"""WITH {_LAB}, f AS (SELECT id, label, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS f FROM emb),
+        t AS (SELECT * FROM f WHERE id % 5 <> 0), e AS (SELECT 1e-9 * max(v) AS eps FROM (SELECT var_pop(v) AS v FROM t GROUP BY f)),
+        m AS (SELECT label, f, avg(v) AS mu, var_pop(v) + any_value(eps) AS var FROM t, e GROUP BY label, f),
+        c AS (SELECT label, ln(count(*)) AS prior FROM emb WHERE id % 5 <> 0 GROUP BY label),
+        s AS (SELECT f.id, any_value(f.label) AS y, m.label AS p, any_value(prior) - sum(ln(var) / 2 + (v - mu) * (v - mu) / (2 * var)) AS score
+              FROM f JOIN m USING (f) JOIN c ON c.label = m.label WHERE f.id % 5 = 0 GROUP BY f.id, m.label)
+        SELECT id, any_value(y) AS y, arg_max(p, score) AS p FROM s GROUP BY id""",
     "knn_predictions": f"""WITH {_LAB}, n AS (SELECT t.id, t.label AS y, r.label AS v FROM emb t JOIN emb r ON t.id % 5 = 0 AND r.id % 5 <> 0
           QUALIFY row_number() OVER (PARTITION BY t.id ORDER BY list_distance(t.x, r.x), r.id) <= 5),
         c AS (SELECT id, y, v, count(*) AS w FROM n GROUP BY ALL)
