@@ -198,7 +198,7 @@ def near_rows(
 
     hits = pairs.join(side(held, "eval_id", "x"), "eval_id").join(side(train, "train_id", "y"), "train_id")
     hits = hits.select("train_id", "eval_id", _differences(rel_tol).alias("n_diff")).filter(F.col("n_diff") <= max_diff)
-    hits = hits.groupBy("train_id", "eval_id").agg(F.min("n_diff").alias("n_diff"))
+    hits = materialize(hits.groupBy("train_id", "eval_id").agg(F.min("n_diff").alias("n_diff")))
     for name, copies in (("train_id", train_copies), ("eval_id", held_copies)):
         every = copies.select(F.col("first").alias(name), F.col("id").alias("_copy"))
         more = hits.join(every, name).drop(name).withColumnRenamed("_copy", name)

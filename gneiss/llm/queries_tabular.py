@@ -127,7 +127,13 @@ _PAIRS = f"""
   pairs AS (SELECT a.row_id AS train_id, b.row_id AS eval_id, b.split, b.source, {_DIFF} AS n_diff
             FROM f a JOIN f b ON a.split = 'train' AND b.split IN ('val', 'test') AND {_DIFF} <= 2)"""
 
+_TERMS = ", ".join(f"'{c}=' || {c}" for c in CAT_COLS)
+
 ORACLE = {
+    "p5_sequences": f"""WITH rec AS (SELECT row_id, any_value(list_filter([{_TERMS}], lambda t: t IS NOT NULL)) AS t FROM flow_samples WHERE row_id IS NOT NULL GROUP BY row_id),
+        g AS (SELECT row_id, unnest(t) AS gram, 1 AS n FROM rec
+              UNION ALL SELECT row_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])), 2 FROM rec)
+        SELECT gram, n, count(*) AS occurrences, count(DISTINCT row_id) AS records FROM g GROUP BY gram, n""",
     "p1_found": f"""WITH {_P1} SELECT config_id, category FROM rep WHERE n_samples IS NOT NULL
         AND balance IN ('target', 'undersample') AND (available < min_rows OR available < n_samples * target_share)""",
     "p5_found": f"WITH {_MARKS} SELECT cat_col, cat_value, mark FROM marked WHERE mark IS NOT NULL",
