@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from gneiss.operators import clean, clustering, models, resample, split
+from gneiss.operators import clean, clustering, models, network, resample, split
 from gneiss.plans.scratch import materialize, scratch_dir
 from gneiss.plans.views import clu, emb, pred, rounded
 from gneiss.sources.synthetic import synthetic_table
@@ -91,6 +91,21 @@ def mlp_predictions(spark, d):
     return models.fit_predict("mlp", {"max_iter": 30}, *_split(spark, d)).select("id", "y", "p")
 
 
+def _network(spark, d):
+    rows = _labelled(spark, d).withColumn("cats", F.array((F.col("id") % 3).cast("int")))
+    train, test = rows.filter("id % 5 <> 0"), rows.filter("id % 5 = 0")
+    settings = network.Settings(loss="focal", label_smoothing=0.05, epochs=30)
+    return network.network_predict(network.fit_network(train.filter("id % 5 <> 1"), train.filter("id % 5 = 1"), settings)[0], test)
+
+
+def network_predictions(spark, d):
+    return _network(spark, d).select("id", "y", "p")
+
+
+def network_embeddings(spark, d):
+    return rounded(_network(spark, d).select("id", F.posexplode("z").alias("f", "v")))
+
+
 def boosted_predictions(spark, d):
     return models.fit_predict("hist_gradient_boosting", {"max_iter": 5, "max_depth": 3}, *_split(spark, d)).select("id", "y", "p")
 
@@ -155,7 +170,7 @@ def block_bootstrap(spark, d):
 
 
 _NAMES = """synth_counts synth_cleaned kmeans_labels gmm_labels birch_labels spectral_labels kprototypes_labels hdbscan_labels tree_predictions forest_out_of_fold
-logistic_predictions naive_bayes_predictions lda_predictions knn_predictions mlp_predictions saved_model_predictions linear_svc_predictions svm_rbf_predictions boosted_predictions failure_regression
+logistic_predictions naive_bayes_predictions lda_predictions knn_predictions mlp_predictions network_predictions network_embeddings saved_model_predictions linear_svc_predictions svm_rbf_predictions boosted_predictions failure_regression
 attributions bootstrap_ci block_bootstrap""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gneiss.operators import clean, clustering, complexity, curves, encode, geometry, metrics, models, resample, split
+from gneiss.operators import clean, clustering, complexity, curves, encode, geometry, metrics, models, network, resample, split
 from gneiss.operators import profile as profiles
 from gneiss.operators.joins import attach_features
 from gneiss.plans import order
@@ -334,3 +334,41 @@ def test_random_ranks_equal_a_window(spark):
     w = Window.partitionBy("y").orderBy(split.order_key("id", 5), "id")
     assert got.withColumn("w", F.row_number().over(w)).filter("w <> _rank").count() == 0 and got.count() == 3000
     assert got.columns == ["id", "y", "_rank"]
+
+
+@pytest.mark.parametrize(("loss", "weights"), [("cross_entropy", None), ("cross_entropy", (1.0, 2.0, 0.5)), ("focal", (1.0, 2.0, 0.5))])
+def test_network_slopes(loss, weights):
+    rng = np.random.default_rng(2)
+    s = network.Settings(hidden=(5, 4), dropout=0.0, loss=loss, label_smoothing=0.1, class_weight=weights)
+    net = network.Network(3, [4], 3, s)
+    num, cats, y = rng.standard_normal((12, 3)), rng.integers(-1, 5, (12, 1)), rng.integers(-1, 3, 12)
+    fresh = lambda: np.random.default_rng(0)
+
+    def value():
+        return network.loss_and_slope(net.forward(num, cats, fresh())[0], y, s)[0]
+
+    logits, z, trail = net.forward(num, cats, fresh())
+    grad = net.backward(network.loss_and_slope(logits, y, s)[1], z, trail)
+    for k, w in net.w.items():
+        for at in list(np.ndindex(w.shape))[:: max(1, w.size // 6)]:
+            old = w[at]
+            w[at] = old + 1e-6
+            up = value()
+            w[at] = old - 1e-6
+            down = value()
+            w[at] = old
+            assert abs((up - down) / 2e-6 - grad[k][at]) < 1e-5, (k, at)
+
+
+def test_network_learns_numbers_and_categories(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(900):
+        c, x = i % 3, rng.standard_normal(2)
+        rows.append((i, int((x[0] > 0) ^ (c == 1)), [float(v) for v in x], [c]))
+    df = spark.createDataFrame(rows, "id bigint, label int, x array<double>, cats array<int>")
+    net, history = network.fit_network(df.filter("id % 4 > 0"), df.filter("id % 4 = 0"), network.Settings(hidden=(16, 8), dropout=0.0, learning_rate=0.01))
+    got = network.network_predict(net, df.filter("id % 4 = 0")).collect()
+    assert sum(r["p"] == r["y"] for r in got) > 0.9 * len(got) and len(got[0]["z"]) == 8
+    assert min(v for _, v in history) < history[0][1]
+    assert network.network_predict(net, df.limit(0)).count() == 0
