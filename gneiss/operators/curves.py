@@ -144,6 +144,17 @@ def atc_cluster_risk(df: DataFrame, confidence: str, correct: Column, cluster: s
     return df.crossJoin(F.broadcast(t)).groupBy(cluster).agg(F.avg(below).alias("atc_risk"))
 
 
+def with_atc_scores(df: DataFrame, confidence: str, correct: Column, region: str, cluster: str) -> DataFrame:
+    """atc_cluster and combo_atc_rankavg added: the cluster's share below the threshold, and the sum of its and the region's rank shares."""
+    df = materialize(df)
+    n = df.count()
+    risk = atc_cluster_risk(df, confidence, correct, cluster).withColumnRenamed("atc_risk", "atc_cluster")
+    out = df.join(risk, cluster, "left")
+    for c in ("atc_cluster", region):
+        out = with_places(out, c).withColumn(f"_{c}", (F.col("_before") + (F.col("_n") + 1) / 2) / (n + 1)).drop("_n", "_before", "_place")
+    return out.withColumn("combo_atc_rankavg", F.col("_atc_cluster") + F.col(f"_{region}")).drop("_atc_cluster", f"_{region}")
+
+
 def error_mass_classes(df: DataFrame, label: str, errors: str, share: float = 0.9, least: int = 2) -> DataFrame:
     """class, errors, rank: the classes with most errors until ``share`` of all is covered, ``least`` at least."""
     w = Window.orderBy(F.desc(errors), label)

@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.operators import geometry, split
+from gneiss.operators import curves, geometry, split
+from gneiss.plans.order import random_ranks
 from gneiss.plans.scratch import materialize
 
 def _own(given: dict, **known):
@@ -280,14 +281,26 @@ def grid_search(name: str, fixed: dict, grid: dict[str, list], df: DataFrame, *,
     return best
 
 
-def nested_failure_regression(rows: DataFrame, cols: list[str], target: str, grid: list[dict], *, outer: int = 5, seed: int = 42) -> DataFrame:
-    """cluster, fold, actual, predicted, params: random forests chosen by inner validation in every outer fold.
+def outer_folds(rows: DataFrame, target: str, k: int, *, strata: int = 5, key: str = "cluster", seed: int = 42) -> DataFrame:
+    """``fold`` added: folds that spread every quantile bin of the target evenly; plain random folds where the bins are too few or too small."""
+    binned = materialize(curves.quantile_bins(rows, target, strata))
+    sizes = [r["n"] for r in binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()]
+    by = ["bin"] if len(sizes) > 1 and min(sizes) >= k else []
+    order = random_ranks(binned, [F.col(c) for c in by] or [F.lit(0)], split.order_key(key, seed), F.col(key))
+    return order.withColumn("fold", F.pmod(F.col("_rank"), F.lit(k)).cast("int")).drop("_rank", "bin")
 
-    Cluster tables are small (at most the cluster budget), so missing values are imputed with the fold's
-    medians plus a missing flag, and folds x combinations are the unit of work. ``rows``: cluster, target, cols.
+
+def nested_failure_regression(rows: DataFrame, cols: list[str], target: str, grid: list[dict], *, outer: int = 5, inner: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """((cluster, fold, actual, predicted, params), (fold, name, importance)): random forests, their parameters chosen by inner folds' mean R2.
+
+    Cluster tables are small (at most the cluster budget), so missing values are imputed with the outer fold's train
+    medians plus a missing flag, and folds x combinations are the unit of work. ``rows``: cluster, target, cols. An inner fold without spread
+    doesn't count; with fewer than ``inner`` rows the first combination is taken.
     """
-    folds = materialize(rows.withColumn("fold", F.pmod(F.xxhash64("cluster", F.lit(seed)), F.lit(outer)).cast("int")))
-    out = None
+    folds = materialize(outer_folds(rows, target, outer, seed=seed).withColumn("_inner", F.pmod(F.xxhash64("cluster", F.lit(seed)), F.lit(inner)).cast("int")))
+    out, weights = None, []
+    names = [*cols, *(f"{c}_missing" for c in cols)]
+    score = RegressionEvaluator(metricName="r2")
     for f in range(outer):
         train, test = folds.filter(F.col("fold") != f), folds.filter(F.col("fold") == f)
         medians = train.agg(*[F.median(c).alias(c) for c in cols]).first().asDict()
@@ -295,23 +308,24 @@ def nested_failure_regression(rows: DataFrame, cols: list[str], target: str, gri
         def ready(df: DataFrame, medians=medians) -> DataFrame:
             flat = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(medians[c] or 0.0)) for c in cols]
             flags = [F.col(c).isNull().cast("double") for c in cols]
-            return df.select("cluster", "fold", F.col(target).cast("double").alias("label"), array_to_vector(F.array(*flat, *flags)).alias("features"))
+            return df.select("cluster", "fold", "_inner", F.col(target).cast("double").alias("label"), array_to_vector(F.array(*flat, *flags)).alias("features"))
 
-        tr = ready(train).cache()
+        tr = ready(train).coalesce(1).cache()
+        parts = [(tr.filter(F.col("_inner") != i), tr.filter(F.col("_inner") == i)) for i in range(inner)]
+        parts = [(a, b) for a, b in parts if len({r[0] for r in b.select("label").limit(50).collect()}) > 1 and not a.isEmpty()]
         best = None
         for g in grid:
-            est = R.RandomForestRegressor(numTrees=g.get("n_estimators", 100), maxDepth=g.get("max_depth") or 10, minInstancesPerNode=g.get("min_samples_leaf", 1), seed=seed)
-            inner = F.pmod(F.xxhash64("cluster", F.lit(seed + 1)), F.lit(3)) == 0
-            model = est.fit(tr.filter(~inner))
-            err = model.transform(tr.filter(inner)).agg(F.avg(F.pow(F.col("prediction") - F.col("label"), 2))).first()[0]
-            if best is None or (err is not None and err < best[0]):
-                best = err if err is not None else np.inf, g, est
+            est = R.RandomForestRegressor(numTrees=g.get("n_estimators", 100), maxDepth=g.get("max_depth") or DEEPEST, minInstancesPerNode=g.get("min_samples_leaf", 1), seed=seed)
+            mean = float(np.mean([score.evaluate(est.fit(a).transform(b)) for a, b in parts])) if parts and len(grid) > 1 else 0.0
+            if best is None or mean > best[0]:
+                best = mean, g, est
         model = best[2].fit(tr)
+        weights += [(f, n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
         part = model.transform(ready(test)).select("cluster", "fold", F.col("label").alias("actual"), F.col("prediction").alias("predicted"), F.lit(str(sorted(best[1].items()))).alias("params"))
         part = materialize(part)
         tr.unpersist()
         out = part if out is None else out.unionByName(part)
-    return out
+    return out, rows.sparkSession.createDataFrame(weights, "fold int, name string, importance double")
 
 
 def shapley_values(predict: Callable[[np.ndarray], np.ndarray], background: np.ndarray, samples: DataFrame, *, n_coalitions: int = 200, seed: int = 0) -> DataFrame:

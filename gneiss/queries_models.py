@@ -110,9 +110,17 @@ def boosted_predictions(spark, d):
     return models.fit_predict("hist_gradient_boosting", {"max_iter": 5, "max_depth": 3}, *_split(spark, d)).select("id", "y", "p")
 
 
-def failure_regression(spark, d):
+def _failures(spark, d):
     rows = clu(spark, d).select("cluster", "rate", "support", "score")
-    return models.nested_failure_regression(rows, ["support", "score"], "rate", [{"n_estimators": 20, "max_depth": 3}, {"n_estimators": 20, "max_depth": 5}], outer=3).select("cluster", "fold", "actual", "predicted")
+    return models.nested_failure_regression(rows, ["support", "score"], "rate", [{"n_estimators": 20, "max_depth": 3}, {"n_estimators": 20, "max_depth": 5}], outer=3, inner=2)
+
+
+def failure_regression(spark, d):
+    return _failures(spark, d)[0].select("cluster", "fold", "actual", "predicted")
+
+
+def failure_importances(spark, d):
+    return rounded(_failures(spark, d)[1].groupBy("name").agg(F.avg("importance").alias("importance")))
 
 
 def saved_model_predictions(spark, d):
@@ -170,7 +178,7 @@ def block_bootstrap(spark, d):
 
 
 _NAMES = """synth_counts synth_cleaned kmeans_labels gmm_labels birch_labels spectral_labels kprototypes_labels hdbscan_labels tree_predictions forest_out_of_fold
-logistic_predictions naive_bayes_predictions lda_predictions knn_predictions mlp_predictions network_predictions network_embeddings saved_model_predictions linear_svc_predictions svm_rbf_predictions boosted_predictions failure_regression
+logistic_predictions naive_bayes_predictions lda_predictions knn_predictions mlp_predictions network_predictions network_embeddings saved_model_predictions linear_svc_predictions svm_rbf_predictions boosted_predictions failure_regression failure_importances
 attributions bootstrap_ci block_bootstrap""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 

@@ -106,6 +106,11 @@ def avg_rank_combo(spark, d):
     return rounded(curves.instance_scores(_region(spark, d), "mcp", "region", "cluster").select("id", "mcp_cluster", "combo_rankavg", "combo_within"))
 
 
+def atc_combo(spark, d):
+    s = _region(spark, d).withColumn("conf", 1 - F.col("mcp"))
+    return rounded(curves.with_atc_scores(s, "conf", F.col("y") == F.col("p"), "region", "cluster").select("id", "atc_cluster", "combo_atc_rankavg"))
+
+
 def fold_percentile_rank(spark, d):
     return rounded(curves.fold_rank(_region(spark, d).withColumn("fold", F.col("id") % 5), "mcp", "fold").select("id", "fold", "fold_rank"))
 
@@ -154,7 +159,7 @@ def squared_error_cap(spark, d):
 
 _NAMES = """mcp_margin_entropy confusion_matrix class_metrics accuracy_macro_weighted micro_metrics cluster_error_rates class_report
 failure_rate_distribution weighted_failure spearman spearman_p_value power_law_fit binned_trend risk_coverage macro_recall_curve
-curve_interp_auc selective_metrics selective_recall rejection_curve avg_rank_combo fold_percentile_rank quantile_bins atc_threshold
+curve_interp_auc selective_metrics selective_recall rejection_curve avg_rank_combo atc_combo fold_percentile_rank quantile_bins atc_threshold
 atc_cluster_risk error_mass_classes instance_calibration top_failing_clusters class_order_by_failure squared_error_cap""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -255,6 +260,10 @@ ORACLE = {
         SELECT id, fold, {r6(f"CASE WHEN count(*) OVER (PARTITION BY fold) > 1 THEN ({_avg_rank('mcp', 'fold')} - 1) / (count(*) OVER (PARTITION BY fold) - 1) ELSE 0.5 END")} AS fold_rank FROM f""",
     "quantile_bins": """WITH q AS (SELECT quantile_cont(o_totalprice, [0.2, 0.4, 0.6, 0.8]) AS q FROM orders)
         SELECT o_orderkey, o_totalprice, CAST(len(list_filter(q, lambda e: o_totalprice > e)) AS INTEGER) AS bin FROM orders, q""",
+    "atc_combo": f"""WITH {_ATC}, j AS (SELECT id, region, atc_risk FROM reg JOIN atc USING (cluster)),
+        k AS (SELECT *, rank() OVER (ORDER BY region) + (count(*) OVER (PARTITION BY region) - 1) / 2 AS rr,
+                rank() OVER (ORDER BY atc_risk) + (count(*) OVER (PARTITION BY atc_risk) - 1) / 2 AS ra, count(*) OVER () AS n FROM j)
+        SELECT id, {r6("atc_risk")} AS atc_cluster, {r6("rr / (n + 1) + ra / (n + 1)")} AS combo_atc_rankavg FROM k""",
     "atc_threshold": f"WITH {_ATC} SELECT {r6('threshold')} AS threshold FROM th",
     "atc_cluster_risk": f"WITH {_ATC} SELECT cluster, {r6('atc_risk')} AS atc_risk FROM atc",
     "error_mass_classes": f"""WITH {PRED}, e AS (SELECT y AS class, count(*) FILTER (y <> p) AS errors FROM pred GROUP BY y),
