@@ -3,7 +3,8 @@
 Method: hash-prefix forest. In each tree a vector is a long string of bits, the sides of random planes on which it lies, and the tree
 is the array of all strings in sorted order. A vector descends to its longest-prefix matches in all trees of a task, then ascends
 them together, one bit of prefix at a time, until the matches of all trees are ``want`` candidates a tree; a few strings
-before and after a run are candidates too. Candidates are ranked by exact distance and id.
+before and after a run are candidates too. Where half of the trees finds little of what the other half does, as in a dense group
+without structure, it ascends on. Candidates are ranked by exact distance and id.
 
 The first bits of a tree are the sides of planes through the median of a bounded sample, so they part any group of distinct vectors
 evenly, however dense. They send every vector to one task per tree (a leaf of about ``leaf`` vectors), where
@@ -34,11 +35,14 @@ from gneiss.plans.scratch import keyed_join, materialize
 TREES = 4
 LOCAL = 4
 WANT = 300
-LEAF = 32_768
+LEAF = 65_536
 SAMPLE = 32_768
 BITS = 63
 #: Strings before and after a run that are candidates too.
 BESIDE = 32
+#: Where the halves of a leaf's trees agree on less of what they find, the ascent goes on to four times the candidates.
+AGREED = 0.15
+AROUND = 64
 #: Distances worked out at once.
 CELLS = 1 << 20
 #: Squared extent below which every pair of a run is at a distance that rounds to 0.
@@ -116,6 +120,25 @@ def _kept(rows: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray
     return row[keep], key[keep]
 
 
+def _unsettled(halves: list[tuple[np.ndarray, np.ndarray]], n: int, order: np.ndarray) -> np.ndarray:
+    """Rows in whose surroundings the two halves of the trees find too few neighbours in common.
+
+    Two independent searches that both find a share r of the true neighbours agree on about r / (2 - r) of what they find together. The
+    shares are averaged over AROUND rows that follow each other in ``order``, as like rows do.
+    """
+    row, key = (np.concatenate(x) for x in zip(*halves))
+    by = np.lexsort((key, row))
+    row, key = row[by], key[by]
+    again = row[1:][(np.diff(row) == 0) & (np.diff(key) == 0)]
+    both = np.bincount(again, minlength=n)
+    union = np.bincount(row, minlength=n) - both
+    window = np.ones(min(AROUND, n))
+    common, found = (np.convolve(x[order].astype(float), window, "same") for x in (both, union))
+    out = np.zeros(n, bool)
+    out[order] = common < AGREED * found
+    return out
+
+
 def search(unit: np.ndarray, k: int, max_dist: float, *, local: int = LOCAL, want: int = WANT, beside: int = BESIDE, seed: object = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, row of a neighbour and distance for up to ``k`` neighbours of every row of a leaf, nearest first, equal distances by row."""
     n = len(unit)
@@ -137,35 +160,49 @@ def search(unit: np.ndarray, k: int, max_dist: float, *, local: int = LOCAL, wan
             keep = (row != other) & (dist <= most)
             found.append((row[keep], (dist[keep] << 32) | other[keep]))
     place = [np.argsort(order) for order, _, _ in trees]
-    waiting = np.ones(n, bool)
-    level = max(int(shared.max()) for _, shared, _ in trees)
+
+    def ascend(waiting: np.ndarray, enough: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """(row, key) from each tree for the waiting rows, each at the longest prefix at which all trees have ``enough`` candidates a tree."""
+        out: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in trees]
+        level = max(int(shared.max()) for _, shared, _ in trees)
+        while waiting.any():
+            level = max(level, 0)
+            runs = [np.r_[0, np.flatnonzero(shared[1:] < level) + 1, n] if level else np.array([0, n]) for _, shared, _ in trees]
+            mine = [np.searchsorted(r, np.arange(n), side="right") - 1 for r in runs]
+            total = sum(np.diff(r)[m][p] for r, m, p in zip(runs, mine, place))
+            now = waiting & (total >= enough * local) if level else waiting.copy()
+            for (order, _, _), edges, run, done, got in zip(trees, runs, mine, done_by, out):
+                at = np.flatnonzero((now & ~done)[order]) if now.any() else np.zeros(0, np.int64)
+                cuts = np.r_[0, np.flatnonzero(np.diff(run[at])) + 1, len(at)] if len(at) else [0]
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    lo, hi = max(edges[run[at[a]]] - beside, 0), min(edges[run[at[a]] + 1] + beside, n)
+                    others = order[lo:hi]
+                    near = unit[others].T
+                    step = max(1, CELLS // len(others))
+                    for c in range(a, b, step):
+                        ask = at[c : min(c + step, b)]
+                        key = np.rint(np.maximum(1 - unit[order[ask]] @ near, 0) * 1e9).astype(np.int64)
+                        key[np.arange(len(ask)), ask - lo] = 2_000_000_001  # beyond any distance
+                        key = (key << 32) | others
+                        if key.shape[1] > k:
+                            key = np.partition(key, k - 1, axis=1)[:, :k]
+                        row = np.repeat(order[ask], key.shape[1])
+                        key = key.ravel()
+                        keep = key >> 32 <= most
+                        got.append((row[keep], key[keep]))
+            waiting = waiting & ~now
+            level -= 1
+        return out
+
+    waiting, enough = np.ones(n, bool), want
     while waiting.any():
-        level = max(level, 0)
-        runs = [np.r_[0, np.flatnonzero(shared[1:] < level) + 1, n] if level else np.array([0, n]) for _, shared, _ in trees]
-        mine = [np.searchsorted(r, np.arange(n), side="right") - 1 for r in runs]
-        total = sum(np.diff(r)[m][p] for r, m, p in zip(runs, mine, place))
-        now = waiting & (total >= want * local) if level else waiting.copy()
-        for (order, _, _), edges, run, done in zip(trees, runs, mine, done_by):
-            at = np.flatnonzero((now & ~done)[order]) if now.any() else np.zeros(0, np.int64)
-            cuts = np.r_[0, np.flatnonzero(np.diff(run[at])) + 1, len(at)] if len(at) else [0]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                lo, hi = max(edges[run[at[a]]] - beside, 0), min(edges[run[at[a]] + 1] + beside, n)
-                others = order[lo:hi]
-                near = unit[others].T
-                step = max(1, CELLS // len(others))
-                for c in range(a, b, step):
-                    ask = at[c : min(c + step, b)]
-                    key = np.rint(np.maximum(1 - unit[order[ask]] @ near, 0) * 1e9).astype(np.int64)
-                    key[np.arange(len(ask)), ask - lo] = 2_000_000_001  # beyond any distance
-                    key = (key << 32) | others
-                    if key.shape[1] > k:
-                        key = np.partition(key, k - 1, axis=1)[:, :k]
-                    row = np.repeat(order[ask], key.shape[1])
-                    key = key.ravel()
-                    keep = key >> 32 <= most
-                    found.append((row[keep], key[keep]))
-        waiting &= ~now
-        level -= 1
+        got = ascend(waiting, enough)
+        halves = [_kept([rows for tree in got[i::2] for rows in tree], k) for i in (0, 1) if any(got[i::2])]
+        found += halves
+        if len(halves) < 2 or enough >= n:
+            break
+        waiting &= _unsettled(halves, n, trees[0][0])
+        enough *= 4
     if not found:
         return none
     row, key = _kept(found, k)
