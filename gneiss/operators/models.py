@@ -19,7 +19,7 @@ from pyspark.ml import regression as R
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.operators import curves, geometry, split
@@ -145,12 +145,15 @@ def calibrated_predict(name: str, params: dict, train: DataFrame, test: DataFram
     held = fit(name, params, train).transform(features(test)).select("id", F.col("label").cast("int").alias("y"), vector_to_array("rawPrediction").alias("raw"))
     # all classes' curves in one fit: a slope and an offset each
     n = scores.agg(F.max(F.size("raw"))).first()[0]
-    place = F.sequence(F.lit(0), F.lit(n - 1))
+
+    def at_class(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i == F.col("c"), v).otherwise(0.0))
+
     long = scores.select("label", F.posexplode("raw").alias("c", "score")).select(
         (F.col("label") == F.col("c")).cast("double").alias("label"),
-        array_to_vector(F.concat(*[F.transform(place, lambda i, v=v: F.when(i == F.col("c"), v).otherwise(0.0)) for v in (F.col("score"), F.lit(1.0))])).alias("features"),
+        array_to_vector(F.concat(at_class(F.col("score")), at_class(F.lit(1.0)))).alias("features"),
     )
-    line = C.LogisticRegression(family="binomial", maxIter=100, fitIntercept=False, standardization=False).fit(long).coefficients.toArray().tolist()
+    line = C.LogisticRegression(family="binomial", maxIter=100, regParam=1e-4, fitIntercept=False).fit(long).coefficients.toArray().tolist()
     curves = [1 / (1 + F.exp(-(F.lit(line[c]) * F.get("raw", F.lit(c)) + line[n + c]))) for c in range(n)]
     out = held.select("id", "y", F.array(*curves).alias("raw"))
     total = F.greatest(F.aggregate("raw", F.lit(0.0), lambda s, v: s + v), F.lit(1e-300))
