@@ -17,6 +17,7 @@ from gneiss.plans.scratch import broadcast_if, keyed_join, materialize
 def _placed(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """``values`` (by, value, _n) with ``_before``, the rows of smaller values of the same ``by``, and ``_place``, the number of the value, from 0."""
     tasks = max(values.sparkSession.sparkContext.defaultParallelism, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    values = materialize(values)  # the ranges are sampled from it, which would count twice
     cut = materialize(values.repartitionByRange(tasks, *by, value).withColumn("_range", F.spark_partition_id()))
     sizes = cut.groupBy(*by, "_range").agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_values"))
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
